@@ -1,4 +1,29 @@
 """All queries of the raster and pyramid engine, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from ..sources.tables import with_views
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers f(spark, sf_dir) under a name, with the DuckDB SQL that gives the same rows."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = with_views(sql)
+        return f
+
+    return put
+
+
+def _load() -> None:
+    from . import q_build, q_grid, q_raster, q_request  # noqa: F401
+
+
+_load()
