@@ -2,47 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import Scratch, components
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='terrapix-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-class Scratch:
-    """Tables written once in the shared folder, so that no later stage depends on an executor's memory or disk."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.n = 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        to = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(to)
-        if self.n == 1:
-            self.fs.deleteOnExit(self.path(self.root))
-        out = self.spark.read.schema(df.schema).parquet(to)
-        out._scratch = to
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Removes tables that no later step reads."""
-        for t in tables:
-            self.fs.delete(self.path(t._scratch), True)
+__all__ = ["Scratch", "components", "fold", "labelled_sample", "lower_ascii", "text_sample"]
 
 
 def lower_ascii(text):
@@ -78,38 +43,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars
         labels = labels.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", "label")
     return text_sample(rows, max_rows, max_chars, seed)
-
-
-def follow(labels: DataFrame, parents: DataFrame) -> DataFrame:
-    """(node, label) with each label replaced by its parent where it has one; changed tells which rows were."""
-    p = parents.select(F.col("node").alias("_n"), F.col("label").alias("_p"))
-    return labels.join(p, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_p", "label").alias("label"), F.coalesce(F.col("_p") != F.col("label"), F.lit(False)).alias("changed"))
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, label) per node, label being the component's smallest node.
-
-    Each round hooks every node to its smallest neighbour below it, shortens the chains by pointer jumping, and contracts
-    the edges to those between different roots. Every step is a grouped minimum or a join whose two inputs are stored
-    tables, so that skewed nodes are split when joined; nothing is gathered on the driver.
-    """
-    labels = None
-    while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-        while True:
-            jumped = scratch.write(follow(parents, parents))
-            scratch.drop(parents)
-            parents = jumped
-            if parents.filter("changed").isEmpty():
-                break
-        labels = parents if labels is None else scratch.write(follow(labels, parents))
-        p = parents.select("node", "label")
-        left = edges.join(p, F.col("a") == F.col("node")).select(F.col("label").alias("a"), "b")
-        left = scratch.write(left)
-        right = left.join(p, F.col("b") == F.col("node")).select("a", F.col("label").alias("b"))
-        nxt = scratch.write(right.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        scratch.drop(left)
-        if nxt.isEmpty():
-            return labels.select("node", "label")
-        edges = nxt
