@@ -5,6 +5,11 @@ shard per block. A shard's tree is sent to the tasks that query it: one task for
 chunks, and each chunk's tree goes to every chunk of queries. In a BK-tree a node's children are keyed by their integer
 Hamming distance to it; a query follows only edges within the radius of its own distance. The trees of all shards of a task
 are built and searched as one forest, level by level, in arrays.
+
+Two searches use this. simhash_components links fingerprints at a small radius. near_components looks for a given similarity of
+shingle sets: texts that share 80 % of their shingles differ in 8 bits of 64 on average and in up to 18, where bit blocks are
+no help. There the shards are dealt by bands of min-hashes, BK-trees are followed at the large radius, and each pair found is
+verified by the share of equal min-hashes before it counts as a link.
 """
 
 from __future__ import annotations
@@ -23,28 +28,51 @@ from .common import Scratch, components
 RADIUS = 3
 SHINGLE = 3
 CHUNK = 2048
+NEAR_RADIUS = 18
+SIMILARITY = 0.8
+PERMUTATIONS = 256
+BANDS = 10
+BAND_ROWS = 3
+VERIFY_AT_ONCE = 30_000
+_factors = np.random.default_rng(9).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BATCH_ROWS = 60_000
 PAIRS_AT_ONCE = 2_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; fewer words are one shingle, no words none."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[min(shingle, len(words)) - 1 :]
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+    return np.fromiter((h(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 4096):
+    for k in range(0, len(hashes), 4096):
         part = hashes[k : k + 4096]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    bits = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
-    return int(bits[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles, repeats included; 0 without words."""
+    return simhash(shingle_hashes(text, shingle))
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of the hashes under each permutation."""
+    best = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 2048):
+        best = np.minimum(best, (hashes[k : k + 2048, None] * _factors).min(axis=0))
+    return best
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -58,6 +86,24 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), fp(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
 
 
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """As fingerprints, with sig (a byte of each min-hash) and bands (hashes of groups of min-hashes)."""
+
+    @F.pandas_udf("fp long, sig binary, bands array<long>")
+    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in texts:
+            out = []
+            for x in t:
+                h = shingle_hashes(x, shingle)
+                best = min_hashes(h)
+                keys = [xxhash.xxh64_intdigest(best[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes(), k) for k in range(BANDS)]
+                out.append((simhash(h), best.astype(np.uint8).tobytes(), np.array(keys, np.uint64).view(np.int64)))
+            yield pd.DataFrame({"fp": np.array([x[0] for x in out], np.uint64).view(np.int64), "sig": [x[1] for x in out], "bands": [x[2] for x in out]})
+
+    held = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), sketch(F.coalesce(F.col("text"), F.lit(""))).alias("s"))
+    return held.select("doc_id", "row", "text_hash", "s.*")
+
+
 class Forest:
     """BK-trees over fps, one per distinct value of tree. Node ids are positions in fps."""
 
@@ -109,19 +155,20 @@ class Forest:
             todo += [(q[k : k + PAIRS_AT_ONCE], node[k : k + PAIRS_AT_ONCE]) for k in range(0, total, PAIRS_AT_ONCE)]
 
 
-def _stars(fps: np.ndarray, task: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the tasks in one batch: (fp, smallest fp of those it is linked to within the task), without loops. Unsigned order of positions."""
+def _stars(ids: np.ndarray, fps: np.ndarray, task: np.ndarray, role: np.ndarray, radius: int, sig: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """For the tasks in one batch: (id, id of the first row it is linked to within the task), without loops.
+
+    Pairs within the radius are links; with sig, only those of which the share of equal min-hashes, less what chance gives,
+    reaches the similarity. Pairs already connected are not looked at again, so that a dense group costs few verifications.
+    """
     trees, asks = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
     label = np.arange(len(fps))
-    forest = Forest(fps[trees], task[trees])
-    for q, t in forest.within(fps[asks], task[asks], radius):
-        a, b = asks[q], trees[t]
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
+
+    def connect(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal label
         while len(a):
             x, y = label[a], label[b]
-            lo, hi = np.minimum(x, y), np.maximum(x, y)
-            np.minimum.at(label, hi, lo)
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
             while True:
                 up = label[label]
                 if (up == label).all():
@@ -129,55 +176,80 @@ def _stars(fps: np.ndarray, task: np.ndarray, role: np.ndarray, radius: int) ->
                 label = up
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
+
+    forest = Forest(fps[trees], task[trees])
+    for q, t in forest.within(fps[asks], task[asks], radius):
+        a, b = asks[q], trees[t]
+        for k in range(0, len(a), VERIFY_AT_ONCE if sig is not None else len(a)):
+            x, y = (a[k : k + VERIFY_AT_ONCE], b[k : k + VERIFY_AT_ONCE]) if sig is not None else (a, b)
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            if sig is not None and len(x):
+                share = ((sig[x] == sig[y]).mean(axis=1) - 1 / 256) * (256 / 255)
+                x, y = x[share >= similarity], y[share >= similarity]
+            connect(x, y)
     moved = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[moved], fps[label[moved]]
+    return ids[moved], ids[label[moved]]
 
 
-def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect exactly those within the radius."""
-    blocks = radius + 1
-    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-    parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("v")) for k in range(blocks)]
-    spread = distinct.select("fp", F.explode(F.array(*parts)).alias("s")).select("fp", (F.col("s.v") * blocks + F.col("s.block")).alias("shard"))
-    large = scratch.write(spread.groupBy("shard").count().filter(F.col("count") > chunk).select("shard", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
+def _search(cells: DataFrame, scratch: Scratch, radius: int, chunk: int, similarity: float = 0.0) -> DataFrame:
+    """Edges (a, b) that connect, within each shard, exactly the linked rows of cells (id, fp, shard and, to verify, sig).
+
+    A shard of more than chunk rows is dealt into chunks, and each pair of chunks is a task of its own.
+    """
+    verified = "sig" in cells.columns
+    kept = ["id", "fp", *["sig"] * verified]
+    large = scratch.write(cells.groupBy("shard").count().filter(F.col("count") > chunk).select("shard", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
     if large.isEmpty():
-        dealt = spread.select("fp", "shard", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"))
+        dealt = cells.select(*kept, "shard", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"))
     else:
-        held = spread.join(large, "shard", "left").withColumn("c", F.coalesce("chunks", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+        held = cells.join(large, "shard", "left").withColumn("c", F.coalesce("chunks", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
         other = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j"), F.when(F.col("k") == o, 0).when(F.col("k") < o, 1).otherwise(2).alias("role"))))
-        dealt = held.select("fp", "shard", other.alias("t")).select("fp", "shard", "t.i", "t.j", "t.role")
-    dealt = dealt.select("fp", F.xxhash64("shard", "i", "j").alias("task"), "shard", "i", "j", "role")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(n, "task").sortWithinPartitions("task", "shard", "i", "j", "fp")
+        dealt = held.select(*kept, "shard", other.alias("t")).select(*kept, "shard", "t.i", "t.j", "t.role")
+    dealt = dealt.select("id", "fp", F.xxhash64("shard", "i", "j").alias("task"), "shard", "i", "j", "role", *["sig"] * verified)
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(n, "task").sortWithinPartitions("task", "shard", "i", "j", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, list]] = []
 
-        def solve(x: np.ndarray) -> pa.RecordBatch:
+        def solve(x: np.ndarray, sigs: list) -> pa.RecordBatch:
             new = np.ones(len(x), bool)
-            new[1:] = (x[1:, 1:5] != x[:-1, 1:5]).any(axis=1)
-            a, b = _stars(x[:, 0].view(np.uint64), np.cumsum(new), x[:, 5], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            new[1:] = (x[1:, 2:6] != x[:-1, 2:6]).any(axis=1)
+            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(x), -1) if verified else None
+            a, b = _stars(np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1]).view(np.uint64), np.cumsum(new), x[:, 6], radius, sig, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        def joined() -> tuple[np.ndarray, list]:
+            return np.concatenate([x for x, _ in held]), [s for _, more in held for s in more]
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
-            if sum(map(len, held)) >= BATCH_ROWS:
-                x = np.ascontiguousarray(np.concatenate(held))
-                last = np.flatnonzero((x[1:, 1:5] != x[:-1, 1:5]).any(axis=1))
+            held.append((np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]], axis=1), batch.columns[7].to_pylist() if verified else []))
+            if sum(len(x) for x, _ in held) >= BATCH_ROWS:
+                x, sigs = joined()
+                last = np.flatnonzero((x[1:, 2:6] != x[:-1, 2:6]).any(axis=1))
+                held = [(x, sigs)]
                 if len(last):
-                    cut = last[-1] + 1
-                    yield solve(np.asfortranarray(x[:cut]))
-                    held = [x[cut:]]
-                else:
-                    held = [x]
+                    cut = int(last[-1]) + 1
+                    yield solve(x[:cut], sigs[:cut])
+                    held = [(x[cut:], sigs[cut:])]
         if held:
-            x = np.concatenate(held)
+            x, sigs = joined()
             if len(x):
-                yield solve(np.asfortranarray(x))
+                yield solve(x, sigs)
 
     return sorted_.mapInArrow(search, "a long, b long")
 
 
+def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp) that connect exactly those within the radius."""
+    blocks = radius + 1
+    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
+    parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("v")) for k in range(blocks)]
+    spread = distinct.select("fp", F.explode(F.array(*parts)).alias("s")).select(F.col("fp").alias("id"), "fp", (F.col("s.v") * blocks + F.col("s.block")).alias("shard"))
+    return _search(spread, scratch, radius, chunk)
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs (doc_id, text, ...): doc_id, fp (signed 64-bit), component_id, kept, text_hash.
 
@@ -195,3 +267,27 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     best = scratch.write(own.groupBy("label").agg(F.min("first").alias("best")))
     where = scratch.write(own.join(best, "label").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row")))
     return rows.join(where, "fp").select("doc_id", "fp", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")
+
+
+def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """One row per row of docs (doc_id, text, ...): doc_id, component_id, kept, text_hash.
+
+    Texts are linked whose sets of word shingles have at least the similarity (Jaccard, from PERMUTATIONS min-hashes, standard
+    error 0.025 at 0.8). Two such texts share a band with a chance of 1 - (1 - 0.8^3)^10, over 0.999. component_id is the
+    smallest doc_id reachable over links, and exactly one row per component, the smallest, is kept. Null and empty texts are
+    one component. Null doc_ids sort after all others. An empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.write(sketches(docs, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = scratch.write(rows.groupBy("fp", "sig").agg(first.alias("first"), F.min("row").alias("id"), F.min("bands").alias("bands")))
+    bands = scratch.write(nodes.select("id", F.posexplode("bands").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("shard")))
+    shared = scratch.write(bands.groupBy("shard").count().filter("count > 1").select("shard"))
+    cells = scratch.write(bands.join(shared, "shard").select("id", "shard"))
+    cells = scratch.write(cells.join(nodes.select("id", "fp", "sig"), "id"))
+    edges = scratch.write(_search(cells, scratch, radius, chunk, similarity).distinct())
+    labels = components(edges, scratch)
+    own = scratch.write(nodes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp", "sig", F.coalesce("label", "id").alias("label"), "first"))
+    best = scratch.write(own.groupBy("label").agg(F.min("first").alias("best")))
+    where = scratch.write(own.join(best, "label").select("fp", "sig", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row")))
+    return rows.join(where, ["fp", "sig"]).select("doc_id", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")
