@@ -209,16 +209,16 @@ def indexes(items: DataFrame, threshold: float = THRESHOLD, max_chars: int = MAX
         yield Index(sorted((int(i), t) for i, t in own.collect()), threshold)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, max_index_chars: int = MAX_INDEX_CHARS) -> DataFrame:
-    """Adds leaks to docs (text, ...): an array of the benchmark items found and verified in the whole text, empty if none.
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, max_index_chars: int = MAX_INDEX_CHARS, into: str = "leaks") -> DataFrame:
+    """Adds leaks, under the name into, to docs (text, ...): an array of the benchmark items found and verified in the whole text, empty if none.
 
     items has item_id and text; rows with a null in either are passed over. Null and empty texts have no leaks. Each index is
     broadcast under a bound on its characters; more items mean more indexes, each searched by every passage.
     """
-    out = docs.withColumn("leaks", F.expr(f"CAST(array() AS {MATCH})"))
+    out = docs.withColumn(into, F.expr(f"CAST(array() AS {MATCH})"))
     context = docs.sparkSession.sparkContext
     for index in indexes(items, threshold, max_index_chars):
-        out = out.withColumn("leaks", F.concat("leaks", _finder(context.broadcast(index))("text")))
+        out = out.withColumn(into, F.concat(into, _finder(context.broadcast(index))("text")))
     return out
 
 

@@ -99,6 +99,12 @@ class ToxicityModel:
         self.bias = float(theta[-1])
         self.weights = {x: float(theta[k]) for x, k in vocabulary.items()}
 
+    def sums(self) -> WordSums:
+        """The sums of words, kept with the model for as long as a worker process holds it."""
+        if "_sums" not in self.__dict__:
+            self._sums = WordSums(self.weights)
+        return self._sums
+
     def score(self, text: str | None, sums: WordSums) -> float:
         """Noisy-or over the whole text's sentences; 0 without words."""
         values = np.array(list(map(sums.__getitem__, _parts((text or "").lower()))), np.float64)
@@ -130,22 +136,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
     return ToxicityModel([t for _, t, _ in got], [int(x) for *_, x in got])
 
 
-def score(docs: DataFrame, model: ToxicityModel, locate: bool = True) -> DataFrame:
-    """Adds score (0 to 1) and, if locate, offending (array of start, end, score; empty below 0.5) to docs (text, ...).
+def score(docs: DataFrame, model: ToxicityModel, locate: bool = True, into: str = "score") -> DataFrame:
+    """Adds a score (0 to 1) under the name into and, if locate, offending (array of start, end, score; empty below 0.5) to docs.
 
-    Null and empty texts have score 0. Every row gets a score from its whole text; other columns are passed on unread.
+    Null and empty texts have score 0. Every row gets a score from its whole text; other columns are passed on unread, and
+    columns of the names given are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, offending array<struct<start:int,end:int,score:double>>")
     def rate(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        sums = WordSums(m.weights)
+        sums = m.sums()
         for t in texts:
             scores = [m.score(x, sums) for x in t]
             spans = [[{"start": a, "end": b, "score": p} for a, b, p in m.offending(x, sums)] if locate and s >= 0.5 else [] for x, s in zip(t, scores, strict=True)]
             yield pd.DataFrame({"score": scores, "offending": spans})
 
-    kept = [c for c in docs.columns if c not in ("score", "offending")]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], rate("text").alias("_r"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "_r.score", *["_r.offending"] * locate)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != into and not (locate and c == "offending")]
+    out = docs.select(*kept, rate("text").alias("_rated"))
+    return out.select(*kept, F.col("_rated.score").alias(into), *["_rated.offending"] * locate)
