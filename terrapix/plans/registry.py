@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import q_build, q_grid, q_io, q_raster, q_request, q_toolbox  # noqa: F401
+    from . import q_build, q_files, q_grid, q_io, q_raster, q_request, q_toolbox  # noqa: F401
 
 
 _load()

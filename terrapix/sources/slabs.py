@@ -98,6 +98,20 @@ def write_files(df: DataFrame, root: str) -> None:
     df.select("path", "data").foreachPartition(run)
 
 
+def delete_files(df: DataFrame, root: str) -> None:
+    """Deletes files (path) below root, from the executors; a file that is gone already is passed over."""
+
+    def run(rows) -> None:
+        import pyarrow.fs as fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for r in rows:
+            if system.get_file_info(f"{base}/{r['path']}").type != fs.FileType.NotFound:
+                system.delete_file(f"{base}/{r['path']}")
+
+    df.select("path").foreachPartition(run)
+
+
 class Storage:
     """Copy, test, size, removal and links of stored objects, on any Hadoop file system; a link is a small object naming its target."""
 
