@@ -9,6 +9,7 @@ meet in one task) and reads each item's bin and offset off the plan.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from .common import Scratch
 
 MAX_TOKENS = 4096
 END_ID = 1
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 SALT_ROWS = 256
 MAX_SALTS = 1 << 16
 
@@ -141,6 +142,12 @@ class WordEncoder:
         return b"".join([get(w) or new(w) for w in self.words(text.lower())])
 
 
+@functools.lru_cache(maxsize=4)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process, so that its cache outlives a task."""
+    return WordEncoder(path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids) of docs (doc_id, text, ...); ids is binary, little-endian unsigned 32-bit numbers.
 
@@ -155,7 +162,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKE
 
         import public_tokenizers
 
-        encoder = WordEncoder(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
+        encoder = word_encoder(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
         end, width = end_id.to_bytes(4, "little"), 4 * max_tokens
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
