@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import components
+
 
 def half(v) -> Column:
     return F.floor(F.col(v) / 2).cast("long")
@@ -117,22 +121,59 @@ def multiply(acc: Column, top: Column) -> Column:
     return F.struct(*[(acc[b] * top[b]).alias(b) for b in "rgba"])
 
 
-def flood_from_edges(cells: DataFrame, target: Column, scratch) -> DataFrame:
+BLOCK = 512
+
+
+def _block_labels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of one block's cells over 4-neighbours: union-find over the runs of each row."""
+    pdf = pdf.sort_values(["row", "col"], ignore_index=True)
+    row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    runs = list(zip(row[first].tolist(), col[first].tolist(), col[last].tolist(), strict=True))
+    parent = list(range(len(runs)))
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    j = 0
+    for k, (r, lo, hi) in enumerate(runs):
+        while j < k and (runs[j][0] < r - 1 or (runs[j][0] == r - 1 and runs[j][2] < lo)):
+            j += 1
+        m = j
+        while m < k and runs[m][0] == r - 1 and runs[m][1] <= hi:
+            a, b = find(m), find(k)
+            parent[max(a, b)] = min(a, b)
+            m += 1
+    root = np.array([find(k) for k in range(len(runs))], np.int64)
+    pdf["label"] = ((row[first] << 32) + col[first])[root][np.cumsum(new) - 1]
+    return pdf
+
+
+def flood_from_edges(cells: DataFrame, target: Column, scratch, block: int = BLOCK) -> DataFrame:
     """(col, row) of the target cells reachable from the raster's border over 4-neighbours that are targets.
 
-    Runs of target cells along each row are the nodes, so that a region has few; runs of adjacent rows that overlap are
-    linked, and whole components are found at once instead of one step of a front at a time.
+    Components are found within blocks of block x block cells first, which bounds what a task holds; only cells on the sides of
+    blocks are then joined with their neighbours, and the components of that small graph are found by rounds of joins.
     """
-    from .shared import components
-
-    hit = cells.filter(target).select("col", "row")
-    line = Window.partitionBy("row").orderBy("col")
-    runs = hit.withColumn("_g", F.col("col") - F.row_number().over(line)).groupBy("row", "_g").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
-    runs = scratch.write(runs.select("row", "lo", "hi", (F.col("row") * 4294967296 + F.col("lo")).alias("id")))
-    below = runs.select((F.col("row") - 1).alias("row"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("id2"))
-    links = runs.join(below, "row").filter("lo <= hi2 AND lo2 <= hi").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    whole = runs.join(components(scratch.write(links), scratch), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id"))
+    c, r = F.col("col"), F.col("row")
+    hit = cells.filter(target).select("col", "row", F.floor(c / block).alias("bc"), F.floor(r / block).alias("br"))
+    own = scratch.write(hit.groupBy("bc", "br").applyInPandas(lambda pdf: _block_labels(pdf[["col", "row"]]), "col long, row long, label long"))
+    links = None
+    for v, w in (("col", "row"), ("row", "col")):
+        near = own.filter(F.col(v) % block == block - 1).select((F.col(v) + 1).alias(v), w, F.col("label").alias("a"))
+        far = own.filter(F.col(v) % block == 0).select(v, w, F.col("label").alias("b"))
+        pairs = near.join(far, [v, w]).select("a", "b")
+        links = pairs if links is None else links.union(pairs)
+    links = scratch.write(links.distinct())
+    whole = own.select("col", "row", "label", F.col("label").alias("node"))
+    if not links.isEmpty():
+        whole = own.withColumnRenamed("label", "node").join(components(links, scratch), "node", "left").select("col", "row", "node", F.coalesce("label", "node").alias("label"))
     size = cells.agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
-    edge = whole.join(F.broadcast(size), F.lit(True)).filter("lo = c0 OR hi = c1 OR row = r0 OR row = r1").select("label").distinct()
-    reached = whole.join(edge, "label", "left_semi")
-    return reached.select(F.explode(F.sequence("lo", "hi")).alias("col"), "row")
+    edge = whole.join(F.broadcast(size), F.lit(True)).filter("col = c0 OR col = c1 OR row = r0 OR row = r1").select("label").distinct()
+    return whole.join(edge, "label", "left_semi").select("col", "row")

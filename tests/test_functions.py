@@ -111,3 +111,19 @@ def test_merge4_needs_two_data_cells(spark):
     cells = spark.createDataFrame([(0, 0, 4.0, 255), (1, 0, 9.0, 0), (0, 1, 9.0, 0), (1, 1, 9.0, 0), (2, 0, 4.0, 255), (3, 1, 8.0, 255)], "col long, row long, z double, mask int")
     got = {r["col"]: (r["z"], r["mask"]) for r in raster.merge4(cells, ["z"], -1.0).collect()}
     assert got == {0: (-1.0, 0), 1: (6.0, 255)}
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_flood_over_blocks(spark, block):
+    rng = random.Random(5)
+    hit = {(x, y) for x in range(23) for y in range(19) if rng.random() < 0.6}
+    cells = spark.createDataFrame([(x, y, (x, y) in hit) for x in range(23) for y in range(19)], "col long, row long, t boolean")
+    todo = [p for p in hit if p[0] in (0, 22) or p[1] in (0, 18)]
+    want = set(todo)
+    while todo:
+        x, y = todo.pop()
+        for p in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+            if p in hit and p not in want:
+                want.add(p)
+                todo.append(p)
+    assert {tuple(r) for r in raster.flood_from_edges(cells, F.col("t"), Scratch(spark, "t"), block).collect()} == want
