@@ -50,14 +50,32 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: IP from the start of a run of digits: a later start in the run can match only if this one does. Keeps long runs linear.
+FROM_RUN_START = re.compile(rf"(?<![0-9]){IP.pattern}")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_domain = re.compile(EMAIL.pattern.partition("@")[2]).match
+
+
+def emails(t: str) -> Iterator[tuple[int, int]]:
+    """The matches of EMAIL, found from each @ instead of from each possible start, in linear time."""
+    end, at = 0, t.find("@")
+    while at >= 0:
+        start = end + len(t[end:at].rstrip(LOCAL))
+        m = _domain(t, at + 1)
+        if m and start < at:
+            end = m.end()
+            yield start, end
+        at = t.find("@", max(at + 1, end))
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns, by kind as listed and then start; a failing match is dropped without another try."""
     t = text or ""
     out = []
     if "@" in t:
-        out += [("email", *m.span()) for m in EMAIL.finditer(t)]
+        out += [("email", *x) for x in emails(t)]
     if "." in t:
-        out += [("ip", *m.span()) for m in IP.finditer(t) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in FROM_RUN_START.finditer(t) if all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in m[0].split(".")))]
     for m in CARD.finditer(t):
         digits = re.sub("[ -]", "", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):

@@ -360,6 +360,17 @@ def test_base_spans():
     assert pii.base_spans(None) == [] and pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(7)
+    for _ in range(3000):
+        t = "".join(rng.choice("a1.@-+_ 0,9") for _ in range(rng.randint(0, 60)))
+        want = [("email", *m.span()) for m in pii.EMAIL.finditer(t)] + [("ip", *m.span()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [x for x in pii.base_spans(t) if x[0] in ("email", "ip")] == want
+    for long in ("1" * 200_000, "a" * 200_000 + "@", "@" * 200_000, "a@b." * 50_000, "1." * 100_000, "+1 (" * 50_000, "0" * 6000 + "1.2.3.4"):
+        pii.base_spans(long)
+        pii.SegmentModel().decode(long[:20_000])
+
+
 def test_segment_model_adds_spans(spark, odd, none):
     model = pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     say = lambda t: {(k, t[a:b]) for k, a, b, base in pii.all_spans(t, model) if not base}
