@@ -57,7 +57,7 @@ def sink_slab(spark, d):
     return slabs.cells_of(slabs.decode_tiles(tiles, TW, TH, 4, "uint8", "lzw"), BANDS, TW, TH)
 
 
-@query("scan_slab_index", "SELECT col // 25 AS tc, row // 10 AS tr, (row // 10 % 2) * 2 + col // 25 % 2 AS n, 0 AS rest, 1000 AS size FROM f_rgb GROUP BY 1, 2, 3")
+@query("scan_slab_index", "SELECT col // 25 AS tc, row // 10 AS tr, (row // 10 % 2) * 2 + col // 25 % 2 AS n, CAST(0 AS BIGINT) AS rest, CAST(1000 AS BIGINT) AS size FROM f_rgb GROUP BY 1, 2, 3")
 def scan_slab_index(spark, d):
     """Tiles start at multiples of 16 bytes."""
     t = slabs.unpack_slabs(_slabs(spark, d, "raw"), TPW, TPH)

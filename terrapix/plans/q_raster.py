@@ -46,7 +46,7 @@ for _n, _top, _f in (("px_cast_u8", 255, pixels.to_u8), ("px_cast_u16", 65535, p
     query(_n, f"SELECT line, x, least(greatest(CAST(trunc(s * {_top} + 0.5) AS INT), 0), {_top}) AS v FROM f_line")(lambda spark, d, f=_f, t=_top: view(spark, d, "f_line").select("line", "x", f(c("s") * t).alias("v")))
 
 
-@query("px_onebit", "SELECT col, row, k, 255 * ((r >> (7 - k)) & 1) AS black, 255 - 255 * ((r >> (7 - k)) & 1) AS white FROM f_rgb, range(0, 8) t(k)")
+@query("px_onebit", "SELECT col, row, k, CAST(255 * ((r >> (7 - k)) & 1) AS INT) AS black, CAST(255 - 255 * ((r >> (7 - k)) & 1) AS INT) AS white FROM f_rgb, range(0, 8) t(k)")
 def px_onebit(spark, d):
     bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
     v = view(spark, d, "f_rgb").select("col", "row", "r", bits)
@@ -467,7 +467,7 @@ def style_pipeline(spark, d):
     return styled(raster.slope(raster.stencil(view(spark, d, "f_dem")), 25.0), c("slope") * 30, True)
 
 
-@query("style_parse", "SELECT img_id, CASE WHEN channels > 2 THEN 'estompage' WHEN res < 1 THEN 'pente' WHEN img_id % 2 = 0 THEN 'exposition' ELSE 'palette' END AS kind, CASE WHEN img_id % 3 = 0 THEN 255.0 ELSE 90.0 END AS max_slope FROM f_img")
+@query("style_parse", "SELECT img_id, CASE WHEN channels > 2 THEN 'estompage' WHEN res < 1 THEN 'pente' WHEN img_id % 2 = 0 THEN 'exposition' ELSE 'palette' END AS kind, CAST(CASE WHEN img_id % 3 = 0 THEN 255.0 ELSE 90.0 END AS DOUBLE) AS max_slope FROM f_img")
 def style_parse(spark, d):
     """Precedence of what a style names, and the default slope limit by unit."""
     kind = F.when(c("channels") > 2, "estompage").when(c("res") < 1, "pente").when(c("img_id") % 2 == 0, "exposition").otherwise("palette")
