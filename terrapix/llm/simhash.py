@@ -34,6 +34,8 @@ PERMUTATIONS = 256
 BANDS = 10
 BAND_ROWS = 3
 VERIFY_AT_ONCE = 30_000
+#: The standard error of a similarity of 0.8 from so many min-hashes; a pair may fall this far short and still be a link.
+SLACK = 0.025
 _factors = np.random.default_rng(9).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BATCH_ROWS = 60_000
 PAIRS_AT_ONCE = 2_000_000
@@ -272,8 +274,8 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs (doc_id, text, ...): doc_id, component_id, kept, text_hash.
 
-    Texts are linked whose sets of word shingles have at least the similarity (Jaccard, from PERMUTATIONS min-hashes, standard
-    error 0.025 at 0.8). Two such texts share a band with a chance of 1 - (1 - 0.8^3)^10, over 0.999. component_id is the
+    Texts are linked whose sets of word shingles have at least the similarity (Jaccard, as estimated from PERMUTATIONS
+    min-hashes, less SLACK). Two such texts share a band with a chance of 1 - (1 - 0.8^3)^10, over 0.999. component_id is the
     smallest doc_id reachable over links, and exactly one row per component, the smallest, is kept. Null and empty texts are
     one component. Null doc_ids sort after all others. An empty table gives an empty result.
     """
@@ -285,7 +287,7 @@ def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMIL
     shared = scratch.write(bands.groupBy("shard").count().filter("count > 1").select("shard"))
     cells = scratch.write(bands.join(shared, "shard").select("id", "shard"))
     cells = scratch.write(cells.join(nodes.select("id", "fp", "sig"), "id"))
-    edges = scratch.write(_search(cells, scratch, radius, chunk, similarity).distinct())
+    edges = scratch.write(_search(cells, scratch, radius, chunk, similarity - SLACK).distinct())
     labels = components(edges, scratch)
     own = scratch.write(nodes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp", "sig", F.coalesce("label", "id").alias("label"), "first"))
     best = scratch.write(own.groupBy("label").agg(F.min("first").alias("best")))
