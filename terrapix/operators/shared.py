@@ -41,6 +41,12 @@ class Scratch:
         out._scratch = to
         return out
 
+    def folder(self) -> str:
+        """A path below the scratch folder that is removed with it when the session ends."""
+        self.fs.mkdirs(self.path(self.root))
+        self.fs.deleteOnExit(self.path(self.root))
+        return f"{self.root}/data"
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that no later step reads."""
         for t in tables:

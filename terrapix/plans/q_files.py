@@ -21,7 +21,7 @@ c = F.col
 
 
 def folder(spark, name):
-    return Scratch(spark, name).root
+    return Scratch(spark, name).folder()
 
 
 def _text(df, column, to):

@@ -145,7 +145,7 @@ def sink_bil(spark, d):
 @query("stream_validated", "SELECT event_id, user_id % 64 AS col FROM events WHERE user_id % 64 < 40")
 def stream_validated(spark, d):
     """Requests checked against limits as they arrive."""
-    to = f"{Scratch(spark, 'stream').root}"
+    to = Scratch(spark, "stream").folder()
     s = streams.events(spark, d).select("event_id", (c("user_id") % 64).alias("col")).filter("col < 40")
     streams.run(s, to)
     return spark.read.schema(s.schema).parquet(f"{to}/rows")
@@ -154,7 +154,7 @@ def stream_validated(spark, d):
 @query("q_gettile_onfly", "SELECT DISTINCT event_id % 4 AS lvl, user_id // 4 AS col, event_id % 64 // 4 AS row FROM events")
 def q_gettile_onfly(spark, d):
     """Slabs made on the fly, each once."""
-    to = f"{Scratch(spark, 'onfly').root}"
+    to = Scratch(spark, "onfly").folder()
     streams.fill_cache(streams.slab_keys(streams.events(spark, d)), lambda keys: keys, to)
     return spark.read.parquet(f"{to}/cache").select("lvl", "col", "row")
 
@@ -162,7 +162,7 @@ def q_gettile_onfly(spark, d):
 @query("stream_window_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, d):
     """Requests a day and kind, with a watermark; a batch with a late bound closes the last windows."""
-    to = f"{Scratch(spark, 'windows').root}"
+    to = Scratch(spark, "windows").folder()
     s = streams.events(spark, d).withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
 
     def keep(rows: DataFrame, number: int) -> None:
