@@ -8,7 +8,6 @@ are then located.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample
 
-MAX_ROWS = 6_000
-MAX_CHARS = 16_000_000
+MAX_ROWS = 8_000
+MAX_CHARS = 24_000_000
 MIN_DOCS = 6
 SIGNIFICANCE = 5.0
 PREFIXES = (3, 4, 5, 6)
@@ -62,29 +61,43 @@ class ToxicityModel:
         y = np.array(labels, np.float64)
         if not len(y) or not y.sum():
             return
-        split = [[_parts_of(s[0]) for s in _sentence((t or "").lower())] for t in texts]
-        of_word = {w: features(w) for doc in split for s in doc for w in s}
-        pos, neg = Counter(), Counter()
-        for doc, label in zip(split, y, strict=True):
-            (pos if label else neg).update({f for s in doc for w in s for f in of_word[w]})
-        n_pos, n_neg = float(y.sum()), float(len(y) - y.sum())
-
-        def telling(f: str) -> bool:
-            a, b = pos[f], neg[f]
-            share = (a + b) / len(y)
-            return a + b >= MIN_DOCS and abs(a / n_pos - b / max(n_neg, 1)) >= SIGNIFICANCE * np.sqrt(share * (1 - share + 1e-9) * (1 / n_pos + 1 / max(n_neg, 1)))
-
-        vocabulary = {f: k for k, f in enumerate(sorted(filter(telling, pos.keys() | neg.keys())))}
-        ids_of = {w: [vocabulary[f] for f in fs if f in vocabulary] for w, fs in of_word.items()}
-        feature, sentence, doc_of, n = [], [], [], 0
-        for d, doc in enumerate(split):
-            for s in doc:
-                ids = [k for w in s for k in ids_of[w]]
-                feature += ids
-                sentence += [n] * len(ids)
-                doc_of.append(d)
-                n += 1
-        feature, sentence, doc_of = np.array(feature, np.int64), np.array(sentence, np.int64), np.array(doc_of, np.int64)
+        word_ids: dict[str, int] = {}
+        docs = [np.array([-1 if w in STOPS else word_ids.setdefault(w, len(word_ids)) for w in _parts((t or "").lower())], np.int32) for t in texts]
+        feature_ids: dict[str, int] = {}
+        per_word = [np.array([feature_ids.setdefault(f, len(feature_ids)) for f in features(w)], np.int32) for w in word_ids]
+        ends = np.cumsum([len(x) for x in per_word], dtype=np.int64)
+        flat = np.concatenate([*per_word, np.zeros(0, np.int32)])
+        sizes = np.diff(ends, prepend=0)
+        del per_word
+
+        def of_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The features of words, and for each the place of its word in ids."""
+            n = sizes[ids]
+            place = np.repeat(np.arange(len(ids)), n)
+            return flat[np.repeat(ends[ids] - n, n) + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)], place
+
+        counts = np.zeros((2, len(feature_ids)))
+        for ids, label in zip(docs, y, strict=True):
+            counts[int(label), np.unique(of_words(np.unique(ids[ids >= 0]))[0])] += 1
+        n_pos, n_neg = float(y.sum()), max(float(len(y) - y.sum()), 1.0)
+        share = counts.sum(axis=0) / len(y)
+        gap = np.abs(counts[1] / n_pos - counts[0] / n_neg)
+        telling = (counts.sum(axis=0) >= MIN_DOCS) & (gap >= SIGNIFICANCE * np.sqrt(share * (1 - share + 1e-9) * (1 / n_pos + 1 / n_neg)))
+        vocabulary = [f for f, k in feature_ids.items() if telling[k]]
+        column = np.cumsum(telling) - 1
+        del feature_ids, word_ids
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        doc_of, n = [], 0
+        for d, ids in enumerate(docs):
+            held = ids >= 0
+            number = np.unique(np.cumsum(~held)[held], return_inverse=True)[1]
+            found, place = of_words(ids[held])
+            keep = telling[found]
+            parts.append((column[found[keep]], number[place[keep]] + n))
+            last = int(number.max()) + 1 if len(number) else 0
+            doc_of.append(np.full(last, d))
+            n += last
+        feature, sentence, doc_of = np.concatenate([x for x, _ in parts]).astype(np.int64), np.concatenate([x for _, x in parts]).astype(np.int64), np.concatenate(doc_of)
         theta = np.zeros(len(vocabulary) + 1)
         theta[-1] = np.log(max(y.mean(), 1e-3) / max(n / len(y), 1))
         m, v = np.zeros(len(theta)), np.zeros(len(theta))
@@ -97,7 +110,7 @@ class ToxicityModel:
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         self.bias = float(theta[-1])
-        self.weights = {x: float(theta[k]) for x, k in vocabulary.items()}
+        self.weights = {x: float(theta[k]) for k, x in enumerate(vocabulary)}
 
     def sums(self) -> WordSums:
         """The sums of words, kept with the model for as long as a worker process holds it."""
