@@ -173,16 +173,9 @@ def main_text(page: str | None) -> str:
     while x is not body and x.parent is not None:
         x = x.parent
         threshold = min(threshold, x.density)
-    articles = [x for x in order if x.tag in ("article", "main") and x.chars]
-    if articles and not any(_inside(best, a) for a in articles):
-        best = max(articles, key=lambda x: x.total)
-    for x in articles:
-        if _inside(best, x):
-            best = x
-            break
     kept: list[Node] = [best]
     up = best
-    while up is not body and up.parent is not None and not articles:
+    while up is not body and up.parent is not None:
         for p in up.parent.parts:
             if not isinstance(p, str) and not p.skip and p is not up and p.chars and p.density >= threshold and p.link_chars * 2 < p.chars:
                 kept.append(p)
@@ -191,14 +184,6 @@ def main_text(page: str | None) -> str:
     return _text(sorted(kept, key=lambda x: place[id(x)]))
 
 
-def _inside(x: Node | None, top: Node) -> bool:
-    while x is not None:
-        if x is top:
-            return True
-        x = x.parent
-    return False
-
-
 def _text(tops: list[Node]) -> str:
     out: list[str] = []
     for top in tops:

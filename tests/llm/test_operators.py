@@ -275,6 +275,20 @@ def test_page_parts():
     assert html_text.main_text("<div>" * 20000 + "deep") == "deep"
 
 
+def test_density_decides_beside_article_and_main():
+    say = lambda k: " ".join(f"Part {k} tells of word{k}x{j} and goes on at some length about it." for j in range(12))
+    parts = "".join(f"<article><h2>Title {k}</h2><p>{say(k)}</p><p>{say(k + 10)}</p></article>" for k in range(3))
+    want = " ".join(f"Title {k} {say(k)} {say(k + 10)}" for k in range(3))
+    nav = "<nav><a href=x>home</a></nav>"
+    assert html_text.main_text(f"<html><body>{nav}<div>{parts}</div><footer>f</footer></body></html>") == want
+    assert html_text.main_text(f"<html><body>{nav}{parts}<footer>f</footer></body></html>") == want
+    # A dense text outside a small article or main is the main text.
+    dense = f"<div class=story><p>{say(1)}</p><p>{say(2)}</p><p>{say(3)}</p></div>"
+    teaser = '<{0}><a href=x>See this</a> <a href=y>and that</a></{0}>'
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<html><body>{teaser.format(tag)}{dense}</body></html>") == f"{say(1)} {say(2)} {say(3)}"
+
+
 # 9
 
 
