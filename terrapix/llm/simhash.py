@@ -8,8 +8,9 @@ are built and searched as one forest, level by level, in arrays.
 
 Two searches use this. simhash_components links fingerprints at a small radius. near_components looks for a given similarity of
 shingle sets: texts that share 80 % of their shingles differ in 8 bits of 64 on average and in up to 18, where bit blocks are
-no help. There the shards are dealt by bands of min-hashes, BK-trees are followed at the large radius, and each pair found is
-verified by the share of equal min-hashes before it counts as a link.
+no help. There the shards are dealt by bands of min-hashes and BK-trees are followed at the large radius. A pair is a candidate if the
+share of its equal min-hashes comes near the similarity; what candidates connect is a cluster. Within each cluster the sets
+of shingle hashes are compared, and only a pair whose sets have the similarity is a link.
 """
 
 from __future__ import annotations
@@ -34,8 +35,11 @@ PERMUTATIONS = 256
 BANDS = 10
 BAND_ROWS = 3
 VERIFY_AT_ONCE = 30_000
-#: The standard error of a similarity of 0.8 from so many min-hashes; a pair may fall this far short and still be a link.
-SLACK = 0.025
+#: How far the estimate of a candidate may fall short of the similarity: four standard errors of 0.8 from so many min-hashes.
+MARGIN = 0.1
+#: Bytes of shingle sets in a chunk of a cluster.
+CHUNK_BYTES = 16_000_000
+BATCH_BYTES = 64_000_000
 _factors = np.random.default_rng(9).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BATCH_ROWS = 60_000
 PAIRS_AT_ONCE = 2_000_000
@@ -106,6 +110,20 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return held.select("doc_id", "row", "text_hash", "s.*")
 
 
+def _with_hashes(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """members (id, fp, sig, shard, text_hash) with hashes, the sorted distinct shingle hashes of their texts in docs."""
+
+    @F.pandas_udf("fp long, hashes binary")
+    def sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in texts:
+            found = [shingle_hashes(x, shingle) for x in t]
+            yield pd.DataFrame({"fp": np.array([simhash(h) for h in found], np.uint64).view(np.int64), "hashes": [np.unique(h).tobytes() for h in found]})
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    held = texts.join(members.withColumnRenamed("fp", "_fp"), "text_hash").withColumn("s", sets("text")).filter("s.fp = _fp")
+    return held.groupBy("id").agg(*[F.first(x).alias(x) for x in ("shard", "sig")], F.first("s.fp").alias("fp"), F.first("s.hashes").alias("hashes"))
+
+
 class Forest:
     """BK-trees over fps, one per distinct value of tree. Node ids are positions in fps."""
 
@@ -157,11 +175,22 @@ class Forest:
             todo += [(q[k : k + PAIRS_AT_ONCE], node[k : k + PAIRS_AT_ONCE]) for k in range(0, total, PAIRS_AT_ONCE)]
 
 
-def _stars(ids: np.ndarray, fps: np.ndarray, task: np.ndarray, role: np.ndarray, radius: int, sig: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays of distinct hashes; 1 of two empty ones."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _stars(ids: np.ndarray, fps: np.ndarray, task: np.ndarray, role: np.ndarray, radius: int, sig: np.ndarray | None = None, similarity: float = 0.0, sets: list[np.ndarray] | None = None, exact: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """For the tasks in one batch: (id, id of the first row it is linked to within the task), without loops.
 
     Pairs within the radius are links; with sig, only those of which the share of equal min-hashes, less what chance gives,
-    reaches the similarity. Pairs already connected are not looked at again, so that a dense group costs few verifications.
+    reaches the similarity; with sets, only those of these whose sets have a similarity of exact or more. Pairs already
+    connected are not looked at again, so that a dense group costs few verifications.
     """
     trees, asks = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
     label = np.arange(len(fps))
@@ -189,56 +218,68 @@ def _stars(ids: np.ndarray, fps: np.ndarray, task: np.ndarray, role: np.ndarray,
             if sig is not None and len(x):
                 share = ((sig[x] == sig[y]).mean(axis=1) - 1 / 256) * (256 / 255)
                 x, y = x[share >= similarity], y[share >= similarity]
-            connect(x, y)
+            if sets is None:
+                connect(x, y)
+                continue
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                if label[i] != label[j] and _jaccard(sets[i], sets[j]) >= exact:
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return ids[moved], ids[label[moved]]
 
 
-def _search(cells: DataFrame, scratch: Scratch, radius: int, chunk: int, similarity: float = 0.0) -> DataFrame:
-    """Edges (a, b) that connect, within each shard, exactly the linked rows of cells (id, fp, shard and, to verify, sig).
+def _search(cells: DataFrame, scratch: Scratch, radius: int, chunk: int, similarity: float = 0.0, exact: float = 0.0) -> DataFrame:
+    """Edges (a, b) that connect, within each shard, exactly the linked rows of cells (id, fp, shard and, to verify, sig and hashes).
 
-    A shard of more than chunk rows is dealt into chunks, and each pair of chunks is a task of its own.
+    A shard of more than chunk rows or CHUNK_BYTES of hashes is dealt into chunks, and each pair of chunks is a task of its own.
     """
-    verified = "sig" in cells.columns
-    kept = ["id", "fp", *["sig"] * verified]
-    large = scratch.write(cells.groupBy("shard").count().filter(F.col("count") > chunk).select("shard", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
+    more = [x for x in ("sig", "hashes") if x in cells.columns]
+    kept = ["id", "fp", *more]
+    held_bytes = F.sum(F.length("hashes")) if "hashes" in more else F.lit(0)
+    chunks = F.ceil(F.greatest(F.count("*") / chunk, held_bytes / CHUNK_BYTES)).cast("int")
+    large = scratch.write(cells.groupBy("shard").agg(chunks.alias("chunks")).filter("chunks > 1"))
     if large.isEmpty():
         dealt = cells.select(*kept, "shard", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"))
     else:
         held = cells.join(large, "shard", "left").withColumn("c", F.coalesce("chunks", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
         other = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j"), F.when(F.col("k") == o, 0).when(F.col("k") < o, 1).otherwise(2).alias("role"))))
         dealt = held.select(*kept, "shard", other.alias("t")).select(*kept, "shard", "t.i", "t.j", "t.role")
-    dealt = dealt.select("id", "fp", F.xxhash64("shard", "i", "j").alias("task"), "shard", "i", "j", "role", *["sig"] * verified)
+    dealt = dealt.select("id", "fp", F.xxhash64("shard", "i", "j").alias("task"), "shard", "i", "j", "role", *more)
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n, "task").sortWithinPartitions("task", "shard", "i", "j", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, list]] = []
 
-        def solve(x: np.ndarray, sigs: list) -> pa.RecordBatch:
+        def solve(x: np.ndarray, checks: list) -> pa.RecordBatch:
             new = np.ones(len(x), bool)
             new[1:] = (x[1:, 2:6] != x[:-1, 2:6]).any(axis=1)
-            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(x), -1) if verified else None
-            a, b = _stars(np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1]).view(np.uint64), np.cumsum(new), x[:, 6], radius, sig, similarity)
+            sig = np.frombuffer(b"".join(c[0] for c in checks), np.uint8).reshape(len(x), -1) if more else None
+            sets = [np.frombuffer(c[1], np.uint64) for c in checks] if len(more) > 1 else None
+            a, b = _stars(np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1]).view(np.uint64), np.cumsum(new), x[:, 6], radius, sig, similarity, sets, exact)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         def joined() -> tuple[np.ndarray, list]:
-            return np.concatenate([x for x, _ in held]), [s for _, more in held for s in more]
+            return np.concatenate([x for x, _ in held]), [c for _, checks in held for c in checks]
 
+        rows = size = 0
         for batch in batches:
-            held.append((np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]], axis=1), batch.columns[7].to_pylist() if verified else []))
-            if sum(len(x) for x, _ in held) >= BATCH_ROWS:
-                x, sigs = joined()
+            held.append((np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]], axis=1), list(zip(*(c.to_pylist() for c in batch.columns[7:]), strict=True))))
+            rows, size = rows + len(batch), size + batch.nbytes
+            if rows >= BATCH_ROWS or size >= BATCH_BYTES:
+                x, checks = joined()
                 last = np.flatnonzero((x[1:, 2:6] != x[:-1, 2:6]).any(axis=1))
-                held = [(x, sigs)]
+                held = [(x, checks)]
+                rows, size = len(x), 0
                 if len(last):
                     cut = int(last[-1]) + 1
-                    yield solve(x[:cut], sigs[:cut])
-                    held = [(x[cut:], sigs[cut:])]
+                    yield solve(x[:cut], checks[:cut])
+                    held = [(x[cut:], checks[cut:])]
+                    rows = len(x) - cut
         if held:
-            x, sigs = joined()
+            x, checks = joined()
             if len(x):
-                yield solve(x, sigs)
+                yield solve(x, checks)
 
     return sorted_.mapInArrow(search, "a long, b long")
 
@@ -274,8 +315,9 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs (doc_id, text, ...): doc_id, component_id, kept, text_hash.
 
-    Texts are linked whose sets of word shingles have at least the similarity (Jaccard, as estimated from PERMUTATIONS
-    min-hashes, less SLACK). Two such texts share a band with a chance of 1 - (1 - 0.8^3)^10, over 0.999. component_id is the
+    Texts are linked whose sets of word shingles have at least the similarity (Jaccard, of the sets themselves). Two such
+    texts share a band with a chance of 1 - (1 - 0.8^3)^10, over 0.999, and are candidates unless the estimate from
+    PERMUTATIONS min-hashes falls short by more than MARGIN. component_id is the
     smallest doc_id reachable over links, and exactly one row per component, the smallest, is kept. Null and empty texts are
     one component. Null doc_ids sort after all others. An empty table gives an empty result.
     """
@@ -287,7 +329,11 @@ def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMIL
     shared = scratch.write(bands.groupBy("shard").count().filter("count > 1").select("shard"))
     cells = scratch.write(bands.join(shared, "shard").select("id", "shard"))
     cells = scratch.write(cells.join(nodes.select("id", "fp", "sig"), "id"))
-    edges = scratch.write(_search(cells, scratch, radius, chunk, similarity - SLACK).distinct())
+    near = scratch.write(_search(cells, scratch, radius, chunk, similarity - MARGIN).distinct())
+    clusters = scratch.write(components(near, scratch).select(F.col("node").alias("id"), F.col("label").alias("shard")))
+    members = scratch.write(clusters.join(nodes.select("id", "fp", "sig"), "id").join(rows.select(F.col("row").alias("id"), "text_hash"), "id"))
+    cells = scratch.write(_with_hashes(docs, members, shingle))
+    edges = scratch.write(_search(cells, scratch, 64, chunk, similarity - MARGIN, similarity).distinct())
     labels = components(edges, scratch)
     own = scratch.write(nodes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp", "sig", F.coalesce("label", "id").alias("label"), "first"))
     best = scratch.write(own.groupBy("label").agg(F.min("first").alias("best")))

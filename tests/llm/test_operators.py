@@ -365,6 +365,23 @@ def test_near_components(spark):
     assert len(set(got.values())) == 40 and all(group[i] == group[c] for i, c in got.items())
 
 
+def test_near_components_are_exact_at_the_similarity(spark):
+    rng = random.Random(5)
+    texts = []
+    for g in range(150):
+        base = [f"w{rng.randrange(50_000)}" for _ in range(rng.randint(150, 400))]
+        changed = list(base)
+        for k in range(0, len(base) - 5, round(len(base) / (len(base) * rng.uniform(0.018, 0.028)))):
+            changed[k + rng.randrange(5)] = f"x{g}y{k}"
+        texts += [" ".join(base), " ".join(changed)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    exact = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.76 <= x < 0.8 for x in exact) > 20 and sum(0.8 <= x < 0.83 for x in exact) > 20
+    for chunk in (7, 2048):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chunk=chunk).collect()}
+        assert [got[2 * k + 1] == 2 * k for k in range(150)] == [x >= 0.8 for x in exact]
+
+
 # 10
 
 
