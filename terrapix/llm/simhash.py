@@ -7,9 +7,9 @@ Hamming distance to it; a query follows only edges within the radius of its own
 are built and searched as one forest, level by level, in arrays.
 
 Two searches use this. simhash_components links fingerprints at a small radius. near_components looks for a given similarity of
-shingle sets: texts that share 80 % of their shingles differ in 8 bits of 64 on average and in up to 18, where bit blocks are
-no help. There the shards are dealt by bands of min-hashes and BK-trees are followed at the large radius. A pair is a candidate if the
-share of its equal min-hashes comes near the similarity; what candidates connect is a cluster. Within each cluster the sets
+shingle sets: texts that share 80 % of their shingles differ in 8 bits of 64 on average and no bound holds for all, so bit blocks are
+no help. There the shards are dealt by bands of min-hashes and pairs at any distance are looked at. A pair is a candidate if
+the share of its equal min-hashes comes near the similarity; what candidates connect is a cluster. Within each cluster the sets
 of shingle hashes are compared, and only a pair whose sets have the similarity is a link.
 """
 
@@ -29,7 +29,6 @@ from .common import Scratch, components
 RADIUS = 3
 SHINGLE = 3
 CHUNK = 2048
-NEAR_RADIUS = 18
 SIMILARITY = 0.8
 PERMUTATIONS = 256
 BANDS = 10
@@ -93,14 +92,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """As fingerprints, with sig (a byte of each min-hash) and bands (hashes of groups of min-hashes)."""
+    """As fingerprints, but fp of the distinct shingles, with sig (a byte of each min-hash) and bands (hashes of groups of min-hashes)."""
 
     @F.pandas_udf("fp long, sig binary, bands array<long>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             out = []
             for x in t:
-                h = shingle_hashes(x, shingle)
+                h = np.unique(shingle_hashes(x, shingle))
                 best = min_hashes(h)
                 keys = [xxhash.xxh64_intdigest(best[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes(), k) for k in range(BANDS)]
                 out.append((simhash(h), best.astype(np.uint8).tobytes(), np.array(keys, np.uint64).view(np.int64)))
@@ -116,8 +115,8 @@ def _with_hashes(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame
     @F.pandas_udf("fp long, hashes binary")
     def sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            found = [shingle_hashes(x, shingle) for x in t]
-            yield pd.DataFrame({"fp": np.array([simhash(h) for h in found], np.uint64).view(np.int64), "hashes": [np.unique(h).tobytes() for h in found]})
+            found = [np.unique(shingle_hashes(x, shingle)) for x in t]
+            yield pd.DataFrame({"fp": np.array([simhash(h) for h in found], np.uint64).view(np.int64), "hashes": [h.tobytes() for h in found]})
 
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     held = texts.join(members.withColumnRenamed("fp", "_fp"), "text_hash").withColumn("s", sets("text")).filter("s.fp = _fp")
@@ -312,7 +311,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     return rows.join(where, "fp").select("doc_id", "fp", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")
 
 
-def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, chunk: int = CHUNK) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = 64, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs (doc_id, text, ...): doc_id, component_id, kept, text_hash.
 
     Texts are linked whose sets of word shingles have at least the similarity (Jaccard, of the sets themselves). Two such

@@ -382,6 +382,16 @@ def test_near_components_are_exact_at_the_similarity(spark):
         assert [got[2 * k + 1] == 2 * k for k in range(150)] == [x >= 0.8 for x in exact]
 
 
+def test_near_components_of_texts_that_repeat_a_line(spark):
+    rng = random.Random(8)
+    texts = []
+    for few, many, words, line in ((1, 20, 200, 12), (2, 60, 300, 15)) * 10:
+        w, x = ([f"w{rng.randrange(50_000)}" for _ in range(n)] for n in (words, line))
+        texts += [" ".join(w + x * n) for n in (few, many)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
 # 10
 
 
