@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 over test items, searched with block-max WAND.
 
-Test items are cut into segments of at most SEGMENT words, indexed in an inverted index whose postings carry each term's BM25
-impact as a share of the segment's own score, so that one threshold serves all. Every passage of a document (PASSAGE words,
+The question and the answer of each test item are cut, apart from each other, into segments of at most SEGMENT words, indexed
+in an inverted index whose postings carry each term's BM25 impact as a share of the segment's own score, so that one threshold
+serves all and a part is found wherever in a document the other stands. Every passage of a document (PASSAGE words,
 one every STRIDE words, so that any SEGMENT consecutive words lie in one) is a query. A passage whose terms' largest impacts
 in no group of segments sum to the threshold can match nothing; the others are run through block-max WAND, which returns every
 segment at or above the threshold. A retrieved item counts as a leak once its question and its answer are both found in the document.
@@ -61,12 +62,14 @@ class Index:
         self.items = {i: question_answer(t or "") for i, t in items}
         self.segment_item: list[int] = []
         segments: list[list[str]] = []
-        for i, text in items:
-            ws = words(text)
-            n = -(-len(ws) // SEGMENT)
-            for k in range(n):
-                segments.append(ws[k * len(ws) // n : (k + 1) * len(ws) // n])
-                self.segment_item.append(i)
+        for i, _ in items:
+            # An answer of a word or two is everywhere; a leak holds the item's question as well, which finds it.
+            longest = max(map(len, self.items[i]))
+            for ws in (p for p in self.items[i] if len(p) >= min(SHINGLE, longest)):
+                n = -(-len(ws) // SEGMENT)
+                for k in range(n):
+                    segments.append(ws[k * len(ws) // n : (k + 1) * len(ws) // n])
+                    self.segment_item.append(i)
         mean = sum(map(len, segments)) / max(len(segments), 1)
         held: dict[str, list[tuple[int, int]]] = {}
         for s, ws in enumerate(segments):

@@ -253,6 +253,17 @@ def test_leaks(spark, docs, duck, odd, none):
     assert decontam.find_leaks(none, bench).count() == 0 and decontam.find_leaks(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_leaks_with_question_and_answer_apart(duck):
+    items = duck.execute("SELECT item_id, text FROM '/root/testdata/sf0.1/benchmark.parquet' WHERE item_id IS NOT NULL").fetchall()
+    index = decontam.Index(items)
+    between = " ".join(f"filler{k}" for k in range(200))
+    apart = {i: (q, a) for i, (q, a) in index.items.items() if q and a}
+    assert len(apart) > 100
+    for i, (q, a) in apart.items():
+        assert i in {x["item_id"] for x in index.leaks(" ".join([*q, between, *a]))}
+        assert i in {x["item_id"] for x in index.leaks(" ".join([*a, between, *q]))}
+
+
 # 8
 
 
