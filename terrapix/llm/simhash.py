@@ -9,8 +9,13 @@ are built and searched as one forest, level by level, in arrays.
 Two searches use this. simhash_components links fingerprints at a small radius. near_components looks for a given similarity of
 shingle sets: texts that share 80 % of their shingles differ in 8 bits of 64 on average and no bound holds for all, so bit blocks are
 no help. There the shards are dealt by bands of min-hashes and pairs at any distance are looked at. A pair is a candidate if
-the share of its equal min-hashes comes near the similarity; what candidates connect is a cluster. Within each cluster the sets
-of shingle hashes are compared, and only a pair whose sets have the similarity is a link.
+the share of its equal min-hashes comes near the similarity; what candidates connect is a cluster. Within each cluster the
+shingle hashes are compared, and only a pair that has the similarity is a link.
+
+The similarity is one of two. "jaccard" is that of the shingle sets. "covered" is the share of the two texts' words that stand
+in a shingle which both texts hold: one changed word takes as many shingles with it as a shingle has words, but leaves all
+other words covered, so copies with a changed word in ten still have 0.8, while texts that share a passage have no more than
+the passage's share of them. Its candidates are pairs of which the equal min-hashes lie all over both texts.
 """
 
 from __future__ import annotations
@@ -31,15 +36,20 @@ SHINGLE = 3
 CHUNK = 2048
 SIMILARITY = 0.8
 PERMUTATIONS = 256
-BANDS = 10
-BAND_ROWS = 3
+#: Number of bands and min-hashes in each, by measure. Jaccard: a pair at 0.8 shares a band with a chance of over 0.999.
+#: Covered: of pairs at 0.8 few have a Jaccard similarity below 0.4, with a chance of 0.985.
+BANDS = {"jaccard": (10, 3), "covered": (24, 2)}
 VERIFY_AT_ONCE = 30_000
 #: How far the estimate of a candidate may fall short of the similarity: four standard errors of 0.8 from so many min-hashes.
 MARGIN = 0.1
-#: Bytes of shingle sets in a chunk of a cluster.
+#: A candidate of "covered" may have this share of equal min-hashes if they lie in so many sixteenths of both texts.
+COVERED_SHARE = 0.25
+COVERED_PARTS = 11
+#: Bytes of shingle hashes in a chunk of a cluster.
 CHUNK_BYTES = 16_000_000
 BATCH_BYTES = 64_000_000
 _factors = np.random.default_rng(9).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_inverses = np.array([pow(int(x), -1, 2**64) for x in _factors], np.uint64)
 BATCH_ROWS = 60_000
 PAIRS_AT_ONCE = 2_000_000
 
@@ -91,32 +101,44 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), fp(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """As fingerprints, but fp of the distinct shingles, with sig (a byte of each min-hash) and bands (hashes of groups of min-hashes)."""
+def _parts(best: np.ndarray, distinct: np.ndarray, first: np.ndarray, n: int) -> bytes:
+    """In which sixteenth of a text of n shingles each min-hash first stands, two to a byte."""
+    if not n:
+        return bytes(PERMUTATIONS // 2)
+    at = first[np.searchsorted(distinct, best * _inverses)] * 16 // n
+    return (at[::2] << 4 | at[1::2]).astype(np.uint8).tobytes()
+
+
+def sketches(docs: DataFrame, shingle: int, measure: str = "jaccard") -> DataFrame:
+    """As fingerprints, but fp of the distinct shingles, with sig (a byte of each min-hash and, for "covered", their places) and bands (hashes of groups of min-hashes)."""
+    bands, width = BANDS[measure]
 
     @F.pandas_udf("fp long, sig binary, bands array<long>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             out = []
             for x in t:
-                h = np.unique(shingle_hashes(x, shingle))
+                every = shingle_hashes(x, shingle)
+                h, first = np.unique(every, return_index=True)
                 best = min_hashes(h)
-                keys = [xxhash.xxh64_intdigest(best[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes(), k) for k in range(BANDS)]
-                out.append((simhash(h), best.astype(np.uint8).tobytes(), np.array(keys, np.uint64).view(np.int64)))
+                keys = [xxhash.xxh64_intdigest(best[k * width : (k + 1) * width].tobytes(), k) for k in range(bands)]
+                places = _parts(best, h, first, len(every)) if measure == "covered" else b""
+                out.append((simhash(h), best.astype(np.uint8).tobytes() + places, np.array(keys, np.uint64).view(np.int64)))
             yield pd.DataFrame({"fp": np.array([x[0] for x in out], np.uint64).view(np.int64), "sig": [x[1] for x in out], "bands": [x[2] for x in out]})
 
     held = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), sketch(F.coalesce(F.col("text"), F.lit(""))).alias("s"))
     return held.select("doc_id", "row", "text_hash", "s.*")
 
 
-def _with_hashes(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """members (id, fp, sig, shard, text_hash) with hashes, the sorted distinct shingle hashes of their texts in docs."""
+def _with_hashes(docs: DataFrame, members: DataFrame, shingle: int, measure: str) -> DataFrame:
+    """members (id, fp, sig, shard, text_hash) with hashes, the shingle hashes of their texts in docs: sorted and distinct for "jaccard", in order for "covered"."""
 
     @F.pandas_udf("fp long, hashes binary")
     def sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            found = [np.unique(shingle_hashes(x, shingle)) for x in t]
-            yield pd.DataFrame({"fp": np.array([simhash(h) for h in found], np.uint64).view(np.int64), "hashes": [h.tobytes() for h in found]})
+            every = [shingle_hashes(x, shingle) for x in t]
+            found = [np.unique(h) for h in every]
+            yield pd.DataFrame({"fp": np.array([simhash(h) for h in found], np.uint64).view(np.int64), "hashes": [h.tobytes() for h in (every if measure == "covered" else found)]})
 
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     held = texts.join(members.withColumnRenamed("fp", "_fp"), "text_hash").withColumn("s", sets("text")).filter("s.fp = _fp")
@@ -184,15 +206,62 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _stars(ids: np.ndarray, fps: np.ndarray, task: np.ndarray, role: np.ndarray, radius: int, sig: np.ndarray | None = None, similarity: float = 0.0, sets: list[np.ndarray] | None = None, exact: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def _covered_words(seq: np.ndarray, other: np.ndarray, shingle: int) -> int:
+    """How many words of a text, given its shingle hashes in order, stand in a shingle of the other (sorted, distinct)."""
+    at = np.searchsorted(other, seq)
+    at[at == len(other)] = 0
+    held = np.flatnonzero(other[at] == seq)
+    return int(np.minimum(np.diff(held), shingle).sum()) + shingle if len(held) else 0
+
+
+def covered(a: np.ndarray, b: np.ndarray, shingle: int, distinct: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """The share of two texts' words, given their shingle hashes in order, that stand in a shingle of both; 1 of two empty ones. A text of fewer words counts as one shingle."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    x, y = distinct or (np.unique(a), np.unique(b))
+    return (_covered_words(a, y, shingle) + _covered_words(b, x, shingle)) / (len(a) + len(b) + 2 * shingle - 2)
+
+
+class Check:
+    """How pairs of rows are verified: by their sketches, and by their shingle hashes where these are given."""
+
+    def __init__(self, measure: str, least: float, exact: float = 0.0, shingle: int = 5):
+        self.measure, self.least, self.exact, self.shingle = measure, least, exact, shingle
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of sketches have the share of equal min-hashes, less what chance gives; or, for "covered", enough of them all over both texts."""
+        same = a[:, :PERMUTATIONS] == b[:, :PERMUTATIONS]
+        share = (same.mean(axis=1) - 1 / 256) * (256 / 255)
+        near = share >= self.least
+        if self.measure == "covered":
+            spread = np.flatnonzero(~near & (share >= COVERED_SHARE))
+            for rows in (a, b):
+                places = rows[spread, PERMUTATIONS:]
+                bits = np.left_shift(1, np.stack([places >> 4, places & 15], axis=2).reshape(len(spread), PERMUTATIONS).astype(np.uint16))
+                hit = np.bitwise_or.reduce(np.where(same[spread], bits, 0).astype(np.uint16), axis=1)
+                spread = spread[np.bitwise_count(hit) >= COVERED_PARTS]
+            near[spread] = True
+        return near
+
+    def holds(self, hashes: list[np.ndarray], distinct: dict[int, np.ndarray], i: int, j: int) -> bool:
+        """Whether rows i and j have the exact similarity."""
+        if self.measure == "jaccard":
+            return _jaccard(hashes[i], hashes[j]) >= self.exact
+        for k in (i, j):
+            if k not in distinct:
+                distinct[k] = np.unique(hashes[k])
+        return covered(hashes[i], hashes[j], self.shingle, (distinct[i], distinct[j])) >= self.exact
+
+
+def _stars(ids: np.ndarray, fps: np.ndarray, task: np.ndarray, role: np.ndarray, radius: int, check: Check | None = None, sig: np.ndarray | None = None, hashes: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For the tasks in one batch: (id, id of the first row it is linked to within the task), without loops.
 
-    Pairs within the radius are links; with sig, only those of which the share of equal min-hashes, less what chance gives,
-    reaches the similarity; with sets, only those of these whose sets have a similarity of exact or more. Pairs already
-    connected are not looked at again, so that a dense group costs few verifications.
+    Pairs within the radius are links; with a check, only those that it finds likely by their sketches and, where hashes are
+    given, true. Pairs already connected are not looked at again, so that a dense group costs few verifications.
     """
     trees, asks = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
     label = np.arange(len(fps))
+    distinct: dict[int, np.ndarray] = {}
 
     def connect(a: np.ndarray, b: np.ndarray) -> None:
         nonlocal label
@@ -210,25 +279,25 @@ def _stars(ids: np.ndarray, fps: np.ndarray, task: np.ndarray, role: np.ndarray,
     forest = Forest(fps[trees], task[trees])
     for q, t in forest.within(fps[asks], task[asks], radius):
         a, b = asks[q], trees[t]
-        for k in range(0, len(a), VERIFY_AT_ONCE if sig is not None else len(a)):
-            x, y = (a[k : k + VERIFY_AT_ONCE], b[k : k + VERIFY_AT_ONCE]) if sig is not None else (a, b)
+        for k in range(0, len(a), VERIFY_AT_ONCE if check else len(a)):
+            x, y = (a[k : k + VERIFY_AT_ONCE], b[k : k + VERIFY_AT_ONCE]) if check else (a, b)
             apart = label[x] != label[y]
             x, y = x[apart], y[apart]
-            if sig is not None and len(x):
-                share = ((sig[x] == sig[y]).mean(axis=1) - 1 / 256) * (256 / 255)
-                x, y = x[share >= similarity], y[share >= similarity]
-            if sets is None:
+            if check and len(x):
+                likely = check.likely(sig[x], sig[y])
+                x, y = x[likely], y[likely]
+            if hashes is None:
                 connect(x, y)
                 continue
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                if label[i] != label[j] and _jaccard(sets[i], sets[j]) >= exact:
+                if label[i] != label[j] and check.holds(hashes, distinct, i, j):
                     label[label == max(label[i], label[j])] = min(label[i], label[j])
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return ids[moved], ids[label[moved]]
 
 
-def _search(cells: DataFrame, scratch: Scratch, radius: int, chunk: int, similarity: float = 0.0, exact: float = 0.0) -> DataFrame:
-    """Edges (a, b) that connect, within each shard, exactly the linked rows of cells (id, fp, shard and, to verify, sig and hashes).
+def _search(cells: DataFrame, scratch: Scratch, radius: int, chunk: int, check: Check | None = None) -> DataFrame:
+    """Edges (a, b) that connect, within each shard, exactly the linked rows of cells (id, fp, shard and, for a check, sig and hashes).
 
     A shard of more than chunk rows or CHUNK_BYTES of hashes is dealt into chunks, and each pair of chunks is a task of its own.
     """
@@ -254,8 +323,8 @@ def _search(cells: DataFrame, scratch: Scratch, radius: int, chunk: int, similar
             new = np.ones(len(x), bool)
             new[1:] = (x[1:, 2:6] != x[:-1, 2:6]).any(axis=1)
             sig = np.frombuffer(b"".join(c[0] for c in checks), np.uint8).reshape(len(x), -1) if more else None
-            sets = [np.frombuffer(c[1], np.uint64) for c in checks] if len(more) > 1 else None
-            a, b = _stars(np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1]).view(np.uint64), np.cumsum(new), x[:, 6], radius, sig, similarity, sets, exact)
+            hashes = [np.frombuffer(c[1], np.uint64) for c in checks] if len(more) > 1 else None
+            a, b = _stars(np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1]).view(np.uint64), np.cumsum(new), x[:, 6], radius, check, sig, hashes)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         def joined() -> tuple[np.ndarray, list]:
@@ -311,28 +380,32 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     return rows.join(where, "fp").select("doc_id", "fp", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")
 
 
-def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = 64, chunk: int = CHUNK) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = 64, chunk: int = CHUNK, measure: str = "jaccard") -> DataFrame:
     """One row per row of docs (doc_id, text, ...): doc_id, component_id, kept, text_hash.
 
-    Texts are linked whose sets of word shingles have at least the similarity (Jaccard, of the sets themselves). Two such
-    texts share a band with a chance of 1 - (1 - 0.8^3)^10, over 0.999, and are candidates unless the estimate from
-    PERMUTATIONS min-hashes falls short by more than MARGIN. component_id is the
-    smallest doc_id reachable over links, and exactly one row per component, the smallest, is kept. Null and empty texts are
-    one component. Null doc_ids sort after all others. An empty table gives an empty result.
+    Texts are linked that have at least the similarity, exactly: by the Jaccard similarity of their sets of word shingles, or
+    by measure "covered" (above). Two texts are compared if they share a band (BANDS) and, for "jaccard", the estimate from
+    PERMUTATIONS min-hashes falls short by no more than MARGIN; for "covered", that or COVERED_SHARE in COVERED_PARTS of both
+    texts. component_id is the smallest doc_id reachable over links, and exactly one row per component, the smallest, is
+    kept. Null and empty texts are one component. Null doc_ids sort after all others; rows that repeat are one component.
+    Further columns are ignored. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    rows = scratch.write(sketches(docs, shingle))
+    rows = scratch.write(sketches(docs, shingle, measure))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     nodes = scratch.write(rows.groupBy("fp", "sig").agg(first.alias("first"), F.min("row").alias("id"), F.min("bands").alias("bands")))
     bands = scratch.write(nodes.select("id", F.posexplode("bands").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("shard")))
     shared = scratch.write(bands.groupBy("shard").count().filter("count > 1").select("shard"))
     cells = scratch.write(bands.join(shared, "shard").select("id", "shard"))
+    scratch.drop(bands, shared)
     cells = scratch.write(cells.join(nodes.select("id", "fp", "sig"), "id"))
-    near = scratch.write(_search(cells, scratch, radius, chunk, similarity - MARGIN).distinct())
+    near = scratch.write(_search(cells, scratch, radius, chunk, Check(measure, similarity - MARGIN)).distinct())
+    scratch.drop(cells)
     clusters = scratch.write(components(near, scratch).select(F.col("node").alias("id"), F.col("label").alias("shard")))
     members = scratch.write(clusters.join(nodes.select("id", "fp", "sig"), "id").join(rows.select(F.col("row").alias("id"), "text_hash"), "id"))
-    cells = scratch.write(_with_hashes(docs, members, shingle))
-    edges = scratch.write(_search(cells, scratch, 64, chunk, similarity - MARGIN, similarity).distinct())
+    cells = scratch.write(_with_hashes(docs, members, shingle, measure))
+    edges = scratch.write(_search(cells, scratch, 64, chunk, Check(measure, similarity - MARGIN, similarity, shingle)).distinct())
+    scratch.drop(cells, members)
     labels = components(edges, scratch)
     own = scratch.write(nodes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp", "sig", F.coalesce("label", "id").alias("label"), "first"))
     best = scratch.write(own.groupBy("label").agg(F.min("first").alias("best")))
