@@ -69,19 +69,28 @@ def taps(name: str, centre: Column, ratio: float, count) -> Column:
     base = RADIUS[name]
     wide = math.ceil(2 * base * (1.0 if name == "nn" else max(1.0, ratio)) - 1e-7)
     count = count if isinstance(count, Column) else F.lit(count)
-    start = lambda r: F.ceil(centre - r - 1e-7)
+    first = lambda x, r: F.ceil(x - r - 1e-7)
     length = lambda r: F.ceil(2 * r - 1e-7)
-    left = start(F.lit(wide / 2)) < 0
-    r1, lo1 = F.when(left, F.abs(centre)).otherwise(wide / 2), F.greatest(start(F.lit(wide / 2)), F.lit(0))
-    n1 = F.when(left, length(F.abs(centre))).otherwise(wide)
-    right = lo1 + n1 > count
-    r2 = F.abs(count - 1 - centre)
-    r, lo, n = F.when(right, r2).otherwise(r1), F.when(right, start(r2)).otherwise(lo1), F.when(right, length(r2)).otherwise(n1)
-    one = F.array(F.struct(F.least(F.greatest(lo, F.lit(0)), count - 1).cast("int").alias("i"), F.lit(1.0).alias("w")))
-    raw = F.transform(F.sequence(lo.cast("int"), (lo + n - 1).cast("int")), lambda i: F.struct(i.alias("i"), kernel(name, F.abs(centre - i) * (base / r)).alias("w")))
-    raw = F.filter(raw, lambda t: t["i"] < centre + r)
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, t: acc + t["w"])
-    return F.when(n <= 1, one).otherwise(F.transform(raw, lambda t: F.struct(t["i"].alias("i"), (t["w"] / total).alias("w"))))
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)  # noqa: E731  # value is computed once
+    pack = lambda x, r, lo, n: F.struct(x.alias("x"), r.cast("double").alias("r"), lo.cast("long").alias("lo"), n.cast("long").alias("n"))
+
+    def from_left(p: Column) -> Column:
+        x, left = p["x"], first(p["x"], F.lit(wide / 2)) < 0
+        return pack(x, F.when(left, F.abs(x)).otherwise(wide / 2), F.greatest(first(x, F.lit(wide / 2)), F.lit(0)), F.when(left, length(F.abs(x))).otherwise(wide))
+
+    def from_right(p: Column) -> Column:
+        x, right, r = p["x"], p["lo"] + p["n"] > count, F.abs(count - 1 - p["x"])
+        return pack(x, F.when(right, r).otherwise(p["r"]), F.when(right, first(x, r)).otherwise(p["lo"]), F.when(right, length(r)).otherwise(p["n"]))
+
+    def weigh(p: Column) -> Column:
+        one = F.array(F.struct(F.least(F.greatest(p["lo"], F.lit(0)), count - 1).cast("int").alias("i"), F.lit(1.0).alias("w")))
+        raw = F.transform(F.sequence(p["lo"].cast("int"), (p["lo"] + p["n"] - 1).cast("int")), lambda i: F.struct(i.alias("i"), kernel(name, F.abs(p["x"] - i) * (base / p["r"])).alias("w")))
+        raw = F.filter(raw, lambda t: t["i"] < p["x"] + p["r"])
+        shared = lambda q: F.transform(q["raw"], lambda t: F.struct(t["i"].alias("i"), (t["w"] / q["sum"]).alias("w")))
+        summed = lambda q: F.struct(q.alias("raw"), F.aggregate(q, F.lit(0.0), lambda acc, t: acc + t["w"]).alias("sum"))
+        return F.when(p["n"] <= 1, one).otherwise(let(let(raw, summed), shared))
+
+    return let(let(let(F.struct(centre.cast("double").alias("x")), from_left), from_right), weigh)
 
 
 def palette(v: Column, stops: list[tuple[float, tuple[float, ...]]], smooth: bool) -> list[Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,16 @@ def profile(df: DataFrame, columns: list[str], numeric: list[str], limit: int =
     few = sums.filter((F.col("count") <= limit) & ~F.col("attribute").isin(*numeric)).select("attribute")
     listed = values.join(F.broadcast(few), "attribute").groupBy("attribute").agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("values"))
     return sums.join(listed, "attribute", "left")
+
+
+def numbered(df: DataFrame, group: list[str], outer: list[str], inner: list[str]) -> DataFrame:
+    """Adds n, each row's number from 1 within its group, in the order of outer and then inner keys.
+
+    No group is sorted in one task: rows are numbered within a group and outer key (of slabs a column of the grid, so no more
+    than its height), and what comes before is a running sum over one row an outer key.
+    """
+    counts = df.groupBy(*group, *outer).agg(F.count("*").alias("_m"))
+    before = F.sum("_m").over(Window.partitionBy(*group).orderBy(*outer)) - F.col("_m")
+    counts = counts.select(*group, *outer, before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*group, *outer).orderBy(*inner))
+    return df.withColumn("_own", own).join(counts, [*group, *outer]).withColumn("n", F.col("_before") + F.col("_own")).drop("_before", "_own")

@@ -52,17 +52,10 @@ def join_tile_children(spark, d):
     return view(spark, d, "f_slab").groupBy("pyr", "lvl", half("col"), half("row")).agg(*child)
 
 
-@query("join_nn_targets", "SELECT DISTINCT s.lvl, s.col, s.row, t.ord, CAST(floor(s.col * s.r / t.res) AS BIGINT) + a.k AS tcol, CAST(floor(s.row * s.r / t.res) AS BIGINT) AS trow FROM (SELECT DISTINCT lvl, col, row, 1.5::DOUBLE AS r FROM f_slab WHERE lvl = 1 AND col < 20) s, f_tm t, range(0, 2) a(k) WHERE CAST(floor(s.col * s.r / t.res) AS BIGINT) + a.k <= CAST(ceil((s.col + 1) * s.r / t.res) AS BIGINT) - 1")
-def join_nn_targets(spark, d):
-    s = view(spark, d, "f_slab").filter("lvl = 1 AND col < 20").select(*KEYS).distinct()
-    both = s.join(F.broadcast(view(spark, d, "f_tm")), F.lit(True))
-    first = F.floor(c("col") * 1.5 / c("res"))
-    last = F.ceil((c("col") + 1) * 1.5 / c("res")) - 1
-    e = both.select(*KEYS, "ord", F.explode(F.sequence(first, F.greatest(first, F.least(first + 1, last)))).alias("tcol"), F.floor(c("row") * 1.5 / c("res")).alias("trow"))
-    return e.distinct()
+TM_SOURCE = "SELECT a.ord AS target, max(b.ord) AS source FROM f_tm a JOIN f_tm b ON b.res < a.res AND a.res / b.res = floor(a.res / b.res) GROUP BY a.ord"
 
 
-@query("join_tm_source", "SELECT a.ord AS target, max(b.ord) AS source FROM f_tm a JOIN f_tm b ON b.res < a.res AND a.res / b.res = floor(a.res / b.res) GROUP BY a.ord")
+@query("join_tm_source", TM_SOURCE)
 def join_tm_source(spark, d):
     tm = view(spark, d, "f_tm")
     a, b = tm.select(c("ord").alias("target"), c("res").alias("ra")), tm.select("ord", "res")
@@ -70,6 +63,35 @@ def join_tm_source(spark, d):
     return ok.groupBy("target").agg(F.max("ord").alias("source"))
 
 
+# Slabs of 4 x 4 tiles of 16 pixels, as in the toolbox. Targets of a level are the levels made from it; a target slab is kept
+# where it overlaps the images' extent, borders not counting.
+NN_SQL = f"""WITH src AS ({TM_SOURCE}), lim AS (SELECT min(xmin) AS x1, min(ymin) AS y1, max(xmax) AS x2, max(ymax) AS y2 FROM f_img),
+n AS (SELECT DISTINCT lvl, col, row FROM f_slab),
+b AS (SELECT n.*, s.ord AS so, s.x0 + col * s.res * 64 AS xa, s.y0 - (row + 1) * s.res * 64 AS ya, s.x0 + (col + 1) * s.res * 64 AS xb, s.y0 - row * s.res * 64 AS yb FROM n JOIN f_tm s ON s.ord = n.lvl - 1),
+t AS (SELECT b.*, f.ord, f.x0, f.y0, f.res * 64 AS side FROM b JOIN src ON src.source = b.so JOIN f_tm f ON f.ord = src.target),
+c1 AS (SELECT *, unnest(range(CAST(trunc((xa - x0) / side) AS BIGINT), CAST(trunc((xb - x0) / side) AS BIGINT) + 1)) AS tcol FROM t),
+c2 AS (SELECT *, unnest(range(CAST(trunc((y0 - yb) / side) AS BIGINT), CAST(trunc((y0 - ya) / side) AS BIGINT) + 1)) AS trow FROM c1)
+SELECT lvl, col, row, ord, tcol, trow FROM c2, lim WHERE x0 + tcol * side < x2 AND x0 + (tcol + 1) * side > x1 AND y0 - (trow + 1) * side < y2 AND y0 - trow * side > y1"""
+
+
+@query("join_nn_targets", NN_SQL)
+def join_nn_targets(spark, d):
+    """Every slab of the levels above that a slab's box reaches, all columns and rows, within the data's extent."""
+    tm = view(spark, d, "f_tm")
+    slab_box = lambda col, row: grid.indices_to_bbox(col, row, c("x0"), c("y0"), c("res"), c("tile_w"), c("tile_h"), 4, 4)
+    nodes = view(spark, d, "f_slab").select(*KEYS).distinct().join(F.broadcast(tm), c("lvl") - 1 == c("ord"))
+    nodes = nodes.select(*KEYS, c("ord").alias("source"), slab_box(c("col"), c("row")).alias("box"))
+    targets = join_tm_source(spark, d).join(tm, c("target") == c("ord")).drop("target")
+    ix = grid.bbox_to_indices(c("box"), c("x0"), c("y0"), c("res"), c("tile_w"), c("tile_h"), 4, 4)
+    reached = nodes.join(F.broadcast(targets), "source").withColumn("ix", ix)
+    reached = reached.select("*", F.explode(F.sequence("ix.col_min", "ix.col_max")).alias("tcol")).select("*", F.explode(F.sequence("ix.row_min", "ix.row_max")).alias("trow"))
+    x1, y1, x2, y2 = view(spark, d, "f_img").agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()  # the extent: one row
+    if x1 is None:
+        return reached.filter("false").select(*KEYS, "ord", "tcol", "trow")
+    b = reached.withColumn("t", slab_box(c("tcol"), c("trow")))
+    return b.filter((c("t.xmin") < x2) & (c("t.xmax") > x1) & (c("t.ymin") < y2) & (c("t.ymax") > y1)).select(*KEYS, "ord", "tcol", "trow")
+
+
 JOINED = "SELECT lvl, col, row, arg_min(pyr, prio) AS main, string_agg(pyr, ',' ORDER BY prio) AS sources, count(*) AS n FROM f_slab GROUP BY lvl, col, row"
 
 
@@ -144,7 +166,8 @@ def agg_attr_min_max(spark, d):
 
 @query("agg_attr_values", "SELECT CASE WHEN count(*) <= 50 THEN string_agg(v, '|' ORDER BY v) END AS values FROM (SELECT DISTINCT o_orderstatus AS v FROM orders) q")
 def agg_attr_values(spark, d):
-    return table(spark, d, "orders").select(c("o_orderstatus").alias("v")).distinct().agg(F.when(F.count("*") <= 50, F.array_join(F.sort_array(F.collect_list("v")), "|")).alias("values"))
+    few = table(spark, d, "orders").select(c("o_orderstatus").alias("v")).distinct().limit(51)  # one more than is listed: enough to tell
+    return few.agg(F.when(F.count("*") <= 50, F.array_join(F.sort_array(F.collect_list("v")), "|")).alias("values"))
 
 
 @query("agg_table_zoom_range", "SELECT pyr, arg_min(lvl, lvl * 100 + prio) AS min_zoom, max(lvl) AS max_zoom, arg_min(col, lvl * 100000000 + col * 10000 + row) AS first_col FROM f_slab GROUP BY pyr")
@@ -174,10 +197,10 @@ def agg_array_minmax(spark, d):
 # ---- building ------------------------------------------------------------------------------------------------------
 
 
-@query("build_bottom_nodes", f"SELECT col, row FROM ({_COVERED}) c1 UNION SELECT user_id % 64, event_id % 64 FROM events WHERE event_id < 500")
+@query("build_bottom_nodes", f"SELECT col, row FROM ({_COVERED}) c1 UNION SELECT user_id % 64, event_id % 64 FROM events")
 def build_bottom_nodes(spark, d):
     """From images, and from a list of indices."""
-    listed = table(spark, d, "events").filter("event_id < 500").select((c("user_id") % 64).alias("col"), (c("event_id") % 64).alias("row"))
+    listed = table(spark, d, "events").select((c("user_id") % 64).alias("col"), (c("event_id") % 64).alias("row"))
     return covered(spark, d).select("col", "row").unionByName(listed).distinct()
 
 
@@ -203,8 +226,8 @@ def build_cut_level(spark, d):
 
 @query("build_round_robin", "SELECT lvl, col, row, (row_number() OVER (PARTITION BY lvl ORDER BY col, row) - 1) % 6 AS script FROM (SELECT DISTINCT lvl, col, row FROM f_slab) q")
 def build_round_robin(spark, d):
-    n = F.row_number().over(Window.partitionBy("lvl").orderBy("col", "row")) - 1
-    return view(spark, d, "f_slab").select(*KEYS).distinct().select(*KEYS, (n % 6).cast("long").alias("script"))
+    n = pyramid.numbered(view(spark, d, "f_slab").select(*KEYS).distinct(), ["lvl"], ["col"], ["row"])
+    return n.select(*KEYS, ((c("n") - 1) % 6).cast("long").alias("script"))
 
 
 @query("build_qtree_test", "SELECT bool_and(n IS NULL OR (abs(n - 2 * res) < 0.01 AND tile_w = nw)) AS qtree FROM (SELECT *, lead(res) OVER (ORDER BY ord) AS n, lead(tile_w) OVER (ORDER BY ord) AS nw FROM f_tm) q")
@@ -255,9 +278,10 @@ def build_compat(spark, d):
     return p.select(F.col("a.img_id").alias("img_id"), F.when(compatible("a", "b"), 2).when(F.col("a.res") == F.col("b.res"), 1).otherwise(0).alias("level"))
 
 
-@query("build_head", "SELECT DISTINCT CAST(k AS INT) AS lvl, col >> (k - lvl) AS col, row >> (k - lvl) AS row FROM (SELECT col, row, lvl, unnest(range(lvl + 1, 8)) AS k FROM f_slab WHERE lvl = 3 AND pyr = 'A') q")
+@query("build_head", "SELECT DISTINCT pyr, CAST(k AS INT) AS lvl, col >> (k - lvl) AS col, row >> (k - lvl) AS row FROM (SELECT pyr, col, row, lvl, unnest(range(lvl + 1, 8)) AS k FROM f_slab WHERE lvl = 3) q")
 def build_head(spark, d):
-    s = view(spark, d, "f_slab").filter("lvl = 3 AND pyr = 'A'").select(*KEYS)
+    """The levels above a reference level, of every pyramid."""
+    s = view(spark, d, "f_slab").filter("lvl = 3").select(*KEYS, "pyr")
     return pyramid.all_ancestors(s, 7).filter("lvl > 3")
 
 
@@ -377,11 +401,20 @@ def sink_pbf_slab(spark, d):
     return k.join(s, ["col", "row"], "left").select("sc", "sr", "n", F.coalesce("size", F.lit(0)).alias("size"))
 
 
-@query("sink_asc", "SELECT row, string_agg(printf('%.4f', CASE WHEN mask <> 0 THEN z ELSE -99999.0 END), ' ' ORDER BY col) AS line FROM f_dem GROUP BY row")
+ASC_HEADER = "printf('ncols        %d' || chr(10) || 'nrows        %d' || chr(10) || 'xllcorner    %.8f' || chr(10) || 'yllcorner    %.8f' || chr(10) || 'cellsize     %.8f' || chr(10) || 'NODATA_value %.2f', max(col) + 1, max(row) + 1, 0.0, 0.0, 1.0, -99999.0)"
+
+
+@query("sink_asc", f"SELECT -1::BIGINT AS row, {ASC_HEADER} AS line FROM f_dem UNION ALL SELECT row, string_agg(printf(' %.2f', CAST(CASE WHEN mask <> 0 THEN z ELSE -99999.0 END AS FLOAT)::DOUBLE), '' ORDER BY col) AS line FROM f_dem GROUP BY row")
 def sink_asc(spark, d):
-    """Lines of an ASCII grid. A line is one row's cells."""
-    cells = view(spark, d, "f_dem").select("row", F.struct("col", F.format_string("%.4f", F.when(c("mask") != 0, c("z")).otherwise(-99999.0)).alias("s")).alias("x"))
-    return cells.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("row", F.array_join(F.transform("xs", lambda x: x["s"]), " ").alias("line"))
+    """Lines of an ASCII grid: six of header (row -1), then one a row of samples, each a space and the 32-bit value with two decimals."""
+    value = F.when(c("mask") != 0, c("z")).otherwise(-99999.0).cast("float").cast("double")
+    dem = view(spark, d, "f_dem")
+    cells = dem.select("row", F.struct("col", F.format_string(" %.2f", value).alias("s")).alias("x"))
+    lines = cells.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("row", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("line"))
+    names = ["ncols        %d", "nrows        %d", "xllcorner    %.8f", "yllcorner    %.8f", "cellsize     %.8f", "NODATA_value %.2f"]
+    size = [F.max("col") + 1, F.max("row") + 1]
+    header = dem.agg(F.format_string("\n".join(names), *size, *[F.lit(x) for x in (0.0, 0.0, 1.0, -99999.0)]).alias("line"))
+    return header.select(F.lit(-1).cast("long").alias("row"), "line").unionByName(lines)
 
 
 @query("sink_cache2work", "SELECT (t % 10) * 15 + x AS col, (t // 10) * 10 + y AS row, z FROM (SELECT (row // 10) * 10 + col // 15 AS t, col % 15 AS x, row % 10 AS y, z FROM f_dem) q")

@@ -13,6 +13,7 @@ from ..functions import codecs, grid, jpeg
 from ..operators.shared import Scratch
 from ..sources import descriptors, slabs, wms
 from ..sources.tables import table, view
+from .q_build import _COVERED, covered
 from .q_io import TH, TW
 from .q_raster import STOPS
 from .registry import query
@@ -119,10 +120,7 @@ def build_ondemand(spark, d):
 
 # ---- images --------------------------------------------------------------------------------------------------------
 
-SOME = "img_id % 20 = 1"
-
-
-@query("scan_image_dir", f"SELECT img_id, xmin AS x, ymax AS y, res FROM f_img WHERE {SOME}")
+@query("scan_image_dir", "SELECT img_id, xmin AS x, ymax AS y, res FROM f_img")
 def scan_image_dir(spark, d):
     """A folder of georeferenced images, written by the executors and listed."""
 
@@ -131,7 +129,7 @@ def scan_image_dir(spark, d):
         return pd.Series([codecs.tiff_encode(np.zeros((2, 4, 3), np.uint8), "zip", (a, b, r, r)) for a, b, r in zip(x, y, res, strict=True)], dtype="object")
 
     to = folder(spark, "images")
-    files = view(spark, d, "f_img").filter(SOME).select(F.concat(c("img_id").cast("string"), F.lit(".tif")).alias("path"), coded("xmin", "ymax", "res").alias("data"))
+    files = view(spark, d, "f_img").select(F.concat(c("img_id").cast("string"), F.lit(".tif")).alias("path"), coded("xmin", "ymax", "res").alias("data"))
     slabs.write_files(files, to)
     images = slabs.image_dir(spark, to)
     return images.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("img_id"), "x", "y", c("resx").alias("res"))
@@ -182,7 +180,7 @@ def local_service(url: str) -> tuple[str, bytes]:
 
 
 def _asked(spark, d, pixels):
-    s = view(spark, d, "f_img").filter(SOME).select(c("img_id").alias("slab"), (F.floor(c("xmin") / 8) * 8.0).alias("xmin"), (F.floor(c("ymin") / 8) * 8.0).alias("ymin"))
+    s = view(spark, d, "f_img").select(c("img_id").alias("slab"), (F.floor(c("xmin") / 8) * 8.0).alias("xmin"), (F.floor(c("ymin") / 8) * 8.0).alias("ymin"))
     s = s.select("*", (c("xmin") + 64).alias("xmax"), (c("ymin") + 64).alias("ymax"))
     return wms.fetch(wms.requests(s, pixels, pixels, "http://host/wms", "lay", "EPSG:3857", max_pixels=8), local_service)
 
@@ -193,12 +191,12 @@ def _answers(got):
     return samples.select(F.get(p, 0).cast("long").alias("img_id"), F.get(p, 1).cast("long").alias("part_col"), F.get(p, 2).cast("long").alias("part_row"), F.get("samples", F.lit(0)).cast("int").alias("r"), F.get("samples", F.lit(1)).cast("int").alias("g"), "width")
 
 
-@query("scan_wms", f"SELECT img_id, CAST(floor(xmin / 8) * 8 AS BIGINT) % 256 AS r, CAST(floor(ymin / 8) * 8 AS BIGINT) % 256 AS g FROM f_img WHERE {SOME}")
+@query("scan_wms", "SELECT img_id, CAST(floor(xmin / 8) * 8 AS BIGINT) % 256 AS r, CAST(floor(ymin / 8) * 8 AS BIGINT) % 256 AS g FROM f_img")
 def scan_wms(spark, d):
     return _answers(_asked(spark, d, 8)).select("img_id", c("r").cast("long").alias("r"), c("g").cast("long").alias("g"))
 
 
-PARTS = f"SELECT img_id, pc AS part_col, pr AS part_row, (CAST(floor(xmin / 8) * 8 AS BIGINT) + 16 * pc) % 256 AS r, (CAST(floor(ymin / 8) * 8 AS BIGINT) + 16 * (3 - pr)) % 256 AS g FROM f_img, range(0, 4) a(pc), range(0, 4) b(pr) WHERE {SOME}"
+PARTS = "SELECT img_id, pc AS part_col, pr AS part_row, (CAST(floor(xmin / 8) * 8 AS BIGINT) + 16 * pc) % 256 AS r, (CAST(floor(ymin / 8) * 8 AS BIGINT) + 16 * (3 - pr)) % 256 AS g FROM f_img, range(0, 4) a(pc), range(0, 4) b(pr)"
 
 
 @query("scan_wms_slab", PARTS)
@@ -216,14 +214,18 @@ def build_wms_slab(spark, d):
 
 # ---- slab folders --------------------------------------------------------------------------------------------------
 
-FEW = "pyr = 'A' AND lvl = 3 AND col < 8 AND row < 16"
+# A folder of the slabs that images cover, one file a slab.
+def _covered(spark, d):
+    return covered(spark, d).select("col", "row").distinct()
+
+
+def _slab_path():
+    return F.concat(F.lit("IMAGE/3/"), grid.b36_path(c("col"), c("row"), 3), F.lit(".tif"))
 
 
 def _written(spark, d, name):
-    s = view(spark, d, "f_slab").filter(FEW)
-    path = F.concat(F.lit("IMAGE/3/"), grid.b36_path(c("col"), c("row"), 3), F.lit(".tif"))
     to = folder(spark, name)
-    slabs.write_files(s.select(path.alias("path"), F.concat_ws("_", c("col").cast("string"), c("row").cast("string")).cast("binary").alias("data")), to)
+    slabs.write_files(_covered(spark, d).select(_slab_path().alias("path"), F.concat_ws("_", c("col").cast("string"), c("row").cast("string")).cast("binary").alias("data")), to)
     return to
 
 
@@ -233,17 +235,17 @@ def _listed(spark, to):
     return files.select(F.regexp_extract("path", r"/IMAGE/(\d+)/", 1).cast("int").alias("lvl"), grid.b36_unpath(p).alias("x"), c("length").alias("size")).select("lvl", "x.*", "size")
 
 
-@query("build_list", f"SELECT lvl, col, row FROM f_slab WHERE {FEW}")
+@query("build_list", f"SELECT DISTINCT 3 AS lvl, col, row FROM ({_COVERED}) q")
 def build_list(spark, d):
     """The slab list of a folder."""
     return _listed(spark, _written(spark, d, "list")).select("lvl", "col", "row")
 
 
-@query("build_delete", f"SELECT lvl, col, row FROM f_slab WHERE {FEW} AND col >= 4")
+@query("build_delete", f"SELECT DISTINCT 3 AS lvl, col, row FROM ({_COVERED}) q WHERE (col + row) % 3 <> 0")
 def build_delete(spark, d):
     """Slabs deleted by list, from the executors; what is left is listed."""
     to = _written(spark, d, "delete")
-    gone = view(spark, d, "f_slab").filter(f"{FEW} AND col < 4").select(F.concat(F.lit("IMAGE/3/"), grid.b36_path(c("col"), c("row"), 3), F.lit(".tif")).alias("path"))
+    gone = _covered(spark, d).filter("(col + row) % 3 = 0").select(_slab_path().alias("path"))
     slabs.delete_files(gone, to)
     return _listed(spark, to).select("lvl", "col", "row")
 

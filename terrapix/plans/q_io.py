@@ -98,6 +98,21 @@ _image_query("scan_tiff", lambda x: codecs.tiff_encode(x, "zip"))
 _image_query("sink_tiff_header_tile", lambda x: codecs.tiff_encode(x, "raw"))
 
 
+@query("mosaic_compose_dir", CELLS)
+def mosaic_compose_dir(spark, d):
+    """A folder of images, one a place of a grid, named by column and row, composed into one."""
+
+    @F.pandas_udf("binary")
+    def coded(samples: pd.Series) -> pd.Series:
+        return pd.Series([codecs.tiff_encode(np.asarray(s).astype(np.uint8).reshape(TH, TW, 4), "zip") for s in samples], dtype="object")
+
+    to = Scratch(spark, "compose").folder()
+    slabs.write_files(_tiles(spark, d).select(F.concat_ws("_", c("tc").cast("string"), c("tr").cast("string")).alias("path"), coded("samples").alias("data")), to)
+    place = F.split(F.regexp_extract("path", r"(\d+_\d+)$", 1), "_")
+    images = slabs.decode_files(slabs.read_slab_files(spark, to)).select(F.get(place, 0).cast("long").alias("tc"), F.get(place, 1).cast("long").alias("tr"), "samples")
+    return slabs.cells_of(images, BANDS, TW, TH)
+
+
 @query("scan_geo_image", "SELECT img_id, xmin AS x, ymax AS y, res AS resx, 4 AS width FROM f_img")
 def scan_geo_image(spark, d):
     """Georeferencing written into a TIFF file and read back."""

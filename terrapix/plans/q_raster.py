@@ -62,6 +62,14 @@ def px_equal_target(spark, d):
     return view(spark, d, "f_rgb").select("col", "row", F.expr(TARGET).alias("hit"))
 
 
+def size_of(cells) -> tuple[int, int]:
+    """Width and height of a raster that starts at (0, 0): its header, one row."""
+    w, h = cells.agg(F.max("col") + 1, F.max("row") + 1).first()
+    return w or 0, h or 0
+
+
+SIZE_SQL = "SELECT max(col) + 1 AS w, max(row) + 1 AS h FROM f_dem"
+
 # ---- mosaics -------------------------------------------------------------------------------------------------------
 
 SRC_ORD = "CASE src WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END"
@@ -73,14 +81,13 @@ def stack(spark, d):
     return view(spark, d, "f_rgb").select((c("col") % 25).alias("col"), (c("row") % 40).alias("row"), *"rgba", F.when(c("a") < 60, 0).otherwise(c("a")).alias("mask"), (F.floor(c("col") / 25) * 1000 + c("row")).cast("long").alias("ord"))
 
 
-@query("mosaic_compound", "SELECT col + 150 * g.x AS col, row + 40 * g.y AS row, z FROM f_dem, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) g(x, y) WHERE row < 40")
+@query("mosaic_compound", f"SELECT col + w * g.x AS col, row + h * g.y AS row, z FROM f_dem, ({SIZE_SQL}) n, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) g(x, y)")
 def mosaic_compound(spark, d):
-    dem = view(spark, d, "f_dem").filter("row < 40")
-    parts = [dem.select((c("col") + 150 * x).alias("col"), (c("row") + 40 * y).alias("row"), "z") for x, y in ((0, 0), (1, 0), (0, 1), (1, 1))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Four images of one size side by side; each cell goes to its place in one pass."""
+    dem = view(spark, d, "f_dem")
+    w, h = size_of(dem)
+    places = F.array(*[F.struct((c("col") + w * x).alias("col"), (c("row") + h * y).alias("row")) for x, y in ((0, 0), (1, 0), (0, 1), (1, 1))])
+    return dem.select(F.explode(places).alias("p"), "z").select("p.*", "z")
 
 
 @query("mosaic_extended", f"SELECT k.x AS col, k.y AS row, coalesce(r, 9) AS r, coalesce(g, 9) AS g, coalesce(b, 9) AS b FROM (SELECT x, y FROM range(0, 30) t(x), range(0, 45) u(y)) k LEFT JOIN (SELECT col, row, arg_max(r, ord) AS r, arg_max(g, ord) AS g, arg_max(b, ord) AS b FROM ({STACK}) s WHERE mask <> 0 GROUP BY col, row) m ON k.x = m.col AND k.y = m.row")
@@ -101,16 +108,29 @@ def mosaic_extend_bbox(spark, d):
     return view(spark, d, "f_img").select("img_id", (c("xmin") - left * c("res")).alias("xmin"), (c("xmax") + right * c("res")).alias("xmax"), (F.round((c("xmax") - c("xmin")) / c("res")) + left + right).cast("long").alias("width"))
 
 
-@query("mosaic_mirrors", "SELECT line, x, s FROM f_line UNION ALL SELECT line, -1 - x, s FROM f_line WHERE x < 5 UNION ALL SELECT line, 127 - x, s FROM f_line WHERE x >= 59")
-def mosaic_mirrors(spark, d):
-    x = c("x")
-    places = F.array_compact(F.array(x, F.when(x < 5, -1 - x), F.when(x >= 59, 127 - x)))
-    return view(spark, d, "f_line").select("line", F.explode(places).alias("x"), "s")
+MIRROR = 5
+SIDES = {"top": ("row < {n}", "col", "-1 - row"), "right": ("col >= w - {n}", "2 * w - 1 - col", "row"), "bottom": ("row >= h - {n}", "col", "2 * h - 1 - row"), "left": ("col < {n}", "-1 - col", "row")}
+_MIRRORS = " UNION ALL ".join(f"SELECT '{k}' AS side, {x} AS col, {y} AS row, z FROM f_dem, ({SIZE_SQL}) n WHERE {w.format(n=MIRROR)}" for k, (w, x, y) in SIDES.items())
+
 
+def mirrors(cells, size):
+    """(side, col, row, z) of the mirror images along the four sides, size cells wide, in the image's own indices; corners have none."""
+    w, h = size_of(cells)
+    held = cells.withColumns({"w": F.lit(w), "h": F.lit(h)})
+    places = F.array_compact(F.array(*[F.when(F.expr(on.format(n=size)), F.struct(F.lit(k).alias("side"), F.expr(x).alias("col"), F.expr(y).alias("row"))) for k, (on, x, y) in SIDES.items()]))
+    return held.select(F.explode(places).alias("p"), "z").select("p.*", "z")
 
-@query("mirror_image", "SELECT 5 - 1 - row AS line, col AS x, z FROM f_dem WHERE row < 5")
+
+@query("mirror_image", _MIRRORS)
 def mirror_image(spark, d):
-    return view(spark, d, "f_dem").filter("row < 5").select((4 - c("row")).alias("line"), c("col").alias("x"), "z")
+    return mirrors(view(spark, d, "f_dem"), MIRROR)
+
+
+@query("mosaic_mirrors", f"SELECT col, row, z FROM f_dem UNION ALL SELECT col, row, z FROM ({_MIRRORS}) m")
+def mosaic_mirrors(spark, d):
+    """An image with its mirrors around it."""
+    dem = view(spark, d, "f_dem")
+    return dem.select("col", "row", "z").unionByName(mirrors(dem, MIRROR).drop("side"))
 
 
 @query("mosaic_crop_crs", "SELECT img_id, CASE WHEN w < 4 OR h < 4 THEN 'empty' WHEN w < xmax - xmin OR h < ymax - ymin THEN 'canvas' ELSE 'whole' END AS plan, CASE WHEN w < 4 OR h < 4 THEN 0 ELSE CAST(round(w / res) + 4 AS BIGINT) END AS width FROM (SELECT *, least(xmax, 3500) - greatest(xmin, 500) AS w, least(ymax, 3500) - greatest(ymin, 500) AS h FROM f_img) q")
@@ -146,14 +166,6 @@ def mosaic_merge_packs(spark, d):
     return view(spark, d, "f_img").select("img_id", F.when(fit, "as_is").when(c("channels") <= 2, "resample").otherwise("reproject").alias("step"))
 
 
-@query("mosaic_compose_dir", "SELECT img_id % 4 AS gx, (img_id // 4) % 4 AS gy, (img_id % 4) * 150 + col AS col, ((img_id // 4) % 4) * 10 + row AS row, z FROM f_dem, range(0, 16) t(img_id) WHERE row < 10")
-def mosaic_compose_dir(spark, d):
-    tiles = spark.range(16).withColumnRenamed("id", "img_id")
-    q = view(spark, d, "f_dem").filter("row < 10").join(F.broadcast(tiles), F.lit(True))
-    gx, gy = c("img_id") % 4, F.floor(c("img_id") / 4) % 4
-    return q.select(gx.alias("gx"), gy.alias("gy"), (gx * 150 + c("col")).alias("col"), (gy * 10 + c("row")).alias("row"), "z")
-
-
 @query("set_distinct_slabs", "SELECT DISTINCT lvl, col, row FROM f_slab")
 def set_distinct_slabs(spark, d):
     return view(spark, d, "f_slab").select("lvl", "col", "row").dropDuplicates()
@@ -246,6 +258,7 @@ KERNEL_SQL = {
     "nn": "1.0",
     "linear": "greatest(1 - d, 0.0)",
     "bicubic": "CASE WHEN d <= 1 THEN 1 + d * d * (-2.5 + 1.5 * d) WHEN d <= 2 THEN 2 + d * (-4 + d * (2.5 - 0.5 * d)) ELSE 0 END",
+    "lanczos_2": "CASE WHEN d < 1e-9 THEN 1.0 WHEN d >= 2 THEN 0.0 ELSE sin(d * pi()) * sin(d * pi() / 2) / ((d * pi()) * (d * pi()) / 2) END",
     "lanczos_3": "CASE WHEN d < 1e-9 THEN 1.0 WHEN d >= 3 THEN 0.0 ELSE sin(d * pi()) * sin(d * pi() / 3) / ((d * pi()) * (d * pi()) / 3) END",
 }
 
@@ -292,31 +305,43 @@ def win_resample_masked(spark, d):
     return out.select("line", "x", F.round("s", 6).alias("s"), "mask")
 
 
-def _to_source(x, y):
-    """A map of 40 x 30 pixels of 3 degrees in EPSG:4326 over a raster of 150 x 10 pixels in EPSG:3857."""
-    lon, lat = x * 3.0 - 60, 45 - y * 3.0
-    mx = lon * (HALF / 180)
-    my = F.log(F.tan(F.lit(math.pi / 4) + lat * (math.pi / 360))) * RADIUS
-    return (mx + 8000000.0) / 110000.0, (6000000.0 - my) / 1200000.0
+def _to_source(w, h):
+    """A map of w x h pixels in EPSG:4326 (60 W to 60 E, 45 N to 45 S) over a raster of as many pixels in EPSG:3857."""
 
+    def at(x, y):
+        lon, lat = x * (120.0 / w) - 60, 45 - y * (90.0 / h)
+        mx = lon * (HALF / 180)
+        my = F.log(F.tan(F.lit(math.pi / 4) + lat * (math.pi / 360))) * RADIUS
+        return (mx + 8000000.0) / (16000000.0 / w), (6000000.0 - my) / (12000000.0 / h)
 
-GRID_SQL = f"""WITH p(gx) AS (SELECT unnest([0, 16, 32, 39])), q(gy) AS (SELECT unnest([0, 16, 29])),
-g AS (SELECT gx, gy, ((gx * 3.0 - 60) * ({HALF!r} / 180) + 8000000.0) / 110000.0 AS sx, (6000000.0 - ln(tan(pi() / 4 + (45 - gy * 3.0) * (pi() / 360))) * {RADIUS}) / 1200000.0 AS sy FROM p, q),
-px AS (SELECT x AS col, y AS row, least(x // 16 * 16, 32) AS x0, least(y // 16 * 16, 16) AS y0 FROM range(0, 40) t(x), range(0, 30) u(y)),
-pp AS (SELECT *, least(x0 + 16, 39) AS x1, least(y0 + 16, 29) AS y1 FROM px),
+    return at
+
+
+GRID_SQL = f"""WITH d AS (SELECT w, h, 120.0::DOUBLE / w AS kx, 90.0::DOUBLE / h AS ky, 16000000.0::DOUBLE / w AS rx, 12000000.0::DOUBLE / h AS ry FROM ({SIZE_SQL}) n),
+p AS (SELECT DISTINCT least(i * 16, w - 1) AS gx FROM (SELECT w, unnest(range(0, (w + 14) // 16 + 1)) AS i FROM d) a), q AS (SELECT DISTINCT least(i * 16, h - 1) AS gy FROM (SELECT h, unnest(range(0, (h + 14) // 16 + 1)) AS i FROM d) a),
+g AS (SELECT gx, gy, ((gx * kx - 60) * ({HALF!r} / 180) + 8000000.0) / rx AS sx, (6000000.0 - ln(tan(pi() / 4 + (45 - gy * ky) * (pi() / 360))) * {RADIUS}) / ry AS sy FROM p, q, d),
+px AS (SELECT col, row, w, h, least(col // 16 * 16, greatest(w - 2, 0) // 16 * 16) AS x0, least(row // 16 * 16, greatest(h - 2, 0) // 16 * 16) AS y0 FROM (SELECT w, h, unnest(range(0, w)) AS col FROM d) a, LATERAL (SELECT unnest(range(0, h)) AS row) b),
+pp AS (SELECT *, least(x0 + 16, w - 1) AS x1, least(y0 + 16, h - 1) AS y1 FROM px),
 uv AS (SELECT *, (col - x0) / greatest(x1 - x0, 1)::DOUBLE AS u, (row - y0) / greatest(y1 - y0, 1)::DOUBLE AS v FROM pp),
 m AS (SELECT uv.col, uv.row, (a.sx * (1 - u) + b.sx * u) * (1 - v) + (e.sx * (1 - u) + f.sx * u) * v AS sx, (a.sy * (1 - u) + b.sy * u) * (1 - v) + (e.sy * (1 - u) + f.sy * u) * v AS sy
 FROM uv JOIN g a ON a.gx = x0 AND a.gy = y0 JOIN g b ON b.gx = x1 AND b.gy = y0 JOIN g e ON e.gx = x0 AND e.gy = y1 JOIN g f ON f.gx = x1 AND f.gy = y1)"""
 
 
+def _source_places(spark, dem):
+    """Where each pixel of the map lies in the raster, and the raster's size."""
+    w, h = size_of(dem)
+    return resample.interpolated(spark, w, h, _to_source(w, h)), w, h
+
+
 @query("win_reproject_grid", f"{GRID_SQL} SELECT col, row, round(sx, 6) AS sx, round(sy, 6) AS sy FROM m")
 def win_reproject_grid(spark, d):
-    return resample.interpolated(spark, 40, 30, _to_source).select("col", "row", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"))
+    return _source_places(spark, view(spark, d, "f_dem"))[0].select("col", "row", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"))
 
 
 @query("win_reproject", f"{GRID_SQL} SELECT m.col, m.row, z FROM m LEFT JOIN f_dem s ON s.col = floor(m.sx + 0.5) AND s.row = floor(m.sy + 0.5)")
 def win_reproject(spark, d):
-    return resample.reproject_nearest(resample.interpolated(spark, 40, 30, _to_source), view(spark, d, "f_dem"), ["z"])
+    dem = view(spark, d, "f_dem")
+    return resample.reproject_nearest(_source_places(spark, dem)[0], dem, ["z"])
 
 
 @query("win_level_resample", "SELECT img_id, CASE WHEN res = 1.0 AND fx < 0.00390625 AND fy < 0.00390625 THEN 'window' ELSE 'lanczos_3' END AS plan FROM (SELECT *, abs(xmin / 16 - round(xmin / 16)) AS fx, abs(ymax / 16 - round(ymax / 16)) AS fy FROM f_img) q")
@@ -326,26 +351,36 @@ def win_level_resample(spark, d):
     return view(spark, d, "f_img").select("img_id", F.when(aligned, "window").otherwise("lanczos_3").alias("plan"))
 
 
-@query("win_level_reproject")
+def _kernel_sql(name):
+    """The cells of the map by a kernel in two dimensions."""
+    axis = lambda v, n: _weights_sql(name, f"SELECT col, row, 1.0 AS ratio, {v} AS x FROM m", f"(SELECT {n} FROM d)", "col, row")
+    return f"SELECT a.col, a.row, round(sum(a.w * b.w * z), 4) AS z FROM ({axis('sx', 'w')}) a JOIN ({axis('sy', 'h')}) b ON a.col = b.col AND a.row = b.row JOIN f_dem s ON s.col = a.i AND s.row = b.i GROUP BY a.col, a.row"
+
+
+@query("win_level_reproject", f"{GRID_SQL} {_kernel_sql('lanczos_2')}")
 def win_level_reproject(spark, d):
-    grid = resample.interpolated(spark, 40, 30, _to_source)
-    cells = view(spark, d, "f_dem")
-    inside = grid.filter("sx >= 0 AND sx <= 149 AND sy >= 0 AND sy <= 9")
-    return resample.reproject_kernel(inside, cells.filter("row < 10"), "z", "lanczos_2", 150, 10)
+    dem = view(spark, d, "f_dem")
+    grid, w, h = _source_places(spark, dem)
+    return resample.reproject_kernel(grid, dem, "z", "lanczos_2", w, h).select("col", "row", F.round("z", 4).alias("z"))
 
 
-@query("win_tool_resample")
+@query("win_tool_resample", f"SELECT line, CAST(k.id AS BIGINT) AS x, round(sum(k.w * s), 6) AS s FROM ({_weights_sql('bicubic', 'SELECT e AS id, 2.0 AS ratio, 5.5 + e * 2.0 AS x FROM range(0, 32) t(e)', 74)}) k JOIN (SELECT line, x + 5 AS x, s FROM f_line UNION ALL SELECT line, 4 - x, s FROM f_line WHERE x < 5 UNION ALL SELECT line, 132 - x, s FROM f_line WHERE x >= 59) l ON l.x = k.i GROUP BY line, k.id")
 def win_tool_resample(spark, d):
-    """With mirrored borders of six samples, so that the kernel never shrinks at an edge."""
-    return resample.resample_axis(mosaic_mirrors(spark, d).withColumn("x", c("x") + 5), "x", ["line"], "s", "bicubic", 2.0, 5.5, 32, 74)
+    """With mirrored borders of five samples, so that the kernel never shrinks at an edge."""
+    x = c("x")
+    places = F.array_compact(F.array(x + 5, F.when(x < 5, 4 - x), F.when(x >= 59, 132 - x)))
+    lines = view(spark, d, "f_line").select("line", F.explode(places).alias("x"), "s")
+    out = resample.resample_axis(lines, "x", ["line"], "s", "bicubic", 2.0, 5.5, 32, 74)
+    return out.select("line", "x", F.round("s", 6).alias("s"))
 
 
-@query("win_tool_reproject")
+@query("win_tool_reproject", f"{GRID_SQL} SELECT k.col, k.row, k.z, s.mask FROM ({_kernel_sql('linear')}) k JOIN m ON m.col = k.col AND m.row = k.row LEFT JOIN f_dem s ON s.col = floor(m.sx + 0.5) AND s.row = floor(m.sy + 0.5)")
 def win_tool_reproject(spark, d):
     """Values by the linear kernel, masks by the nearest cell."""
-    grid = resample.interpolated(spark, 40, 30, _to_source).filter("sx >= 0 AND sx <= 149 AND sy >= 0 AND sy <= 9")
-    cells = view(spark, d, "f_dem").filter("row < 10")
-    return resample.reproject_kernel(grid, cells, "z", "linear", 150, 10).join(resample.reproject_nearest(grid, cells, ["mask"]), ["col", "row"])
+    dem = view(spark, d, "f_dem")
+    grid, w, h = _source_places(spark, dem)
+    values = resample.reproject_kernel(grid, dem, "z", "linear", w, h).select("col", "row", F.round("z", 4).alias("z"))
+    return values.join(resample.reproject_nearest(grid, dem, ["mask"]), ["col", "row"])
 
 
 # ---- blending ------------------------------------------------------------------------------------------------------
@@ -449,16 +484,23 @@ for _n, _smooth in (("style_palette", True), ("style_apply", False)):
 
 @query("join_palette", f"SELECT col, row, {_palette_sql('z', False)} FROM f_dem")
 def join_palette(spark, d):
-    """The same by an interval join with the palette's stops, a broadcast table of fixed size."""
-    ends = [-math.inf, *[s[0] for s in STOPS[1:]], math.inf]
-    rows = [(lo, hi, *map(float, s[1])) for lo, hi, s in zip(ends[:-1], ends[1:], STOPS, strict=True)]
-    stops = spark.createDataFrame(rows, "lo double, hi double, r double, g double, b double, a double")
-    return view(spark, d, "f_dem").join(F.broadcast(stops), (c("z") >= c("lo")) & (c("z") < c("hi"))).select("col", "row", *"rgba")
+    """Each value with the stop at or below it: the stops are few and fixed, so the interval is found by comparison, without a join."""
+    found = pixels.palette(c("z"), STOPS, False)
+    return view(spark, d, "f_dem").select("col", "row", *[F.round(x, 6).alias(n) for x, n in zip(found, "rgba", strict=True)])
+
+
+# A style a level: its stops are as many apart as the level's resolution says; levels of odd order give no alpha.
+PNG_PALETTES = f"""SELECT id AS style, k, CAST(trunc(r + 0.5) AS INT) AS r, CAST(trunc(g + 0.5) AS INT) AS g, CAST(trunc(b + 0.5) AS INT) AS b, CAST(CASE WHEN ord % 2 = 1 THEN 255 - k ELSE trunc(a + 0.5) END AS INT) AS a
+FROM (SELECT id, ord, k, {_palette_sql('z', True)} FROM (SELECT id, ord, k, k * 12.0 / res AS z, 0 AS col, 0 AS row FROM f_tm, range(0, 256) t(k)) q0) q"""
 
 
-@query("style_palette_png", f"SELECT col, row, {_palette_sql('z', True)} FROM (SELECT k AS col, 0::BIGINT AS row, k * 12.0::DOUBLE AS z FROM range(0, 256) t(k)) q")
+@query("style_palette_png", PNG_PALETTES)
 def style_palette_png(spark, d):
-    return styled(spark.range(256).select(c("id").alias("col"), F.lit(0).cast("long").alias("row")), c("col") * 12.0, True)
+    """The 256 colours of each style's PNG palette; where a style gives no alpha, entry k is as opaque as 255 - k."""
+    k = view(spark, d, "f_tm").select("id", "ord", "res", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("k"))
+    r, g, b, a = pixels.palette(c("k") * 12.0 / c("res"), STOPS, True)
+    alpha = F.when(c("ord") % 2 == 1, 255 - c("k")).otherwise(pixels.to_u8(F.round(a, 6)))
+    return k.select(c("id").alias("style"), c("k").cast("long").alias("k"), *[pixels.to_u8(F.round(x, 6)).alias(n) for x, n in zip((r, g, b), "rgb", strict=True)], alpha.alias("a"))
 
 
 @query("style_pipeline", f"SELECT col, row, {_palette_sql('z', True)} FROM (SELECT col, row, least(atan(sqrt(dx * dx + dy * dy)) * (180 / pi()), 90) * 30 AS z FROM (SELECT col, row, {DX} AS dx, {DY} AS dy FROM ({NB}) n WHERE {FULL}) q) q2")

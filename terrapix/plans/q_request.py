@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..operators import raster, requests
+from ..sources import slabs
 from ..sources.tables import table, view
 from .registry import query
 
@@ -150,11 +151,14 @@ def q_gettile(spark, d):
     return t.join(view(spark, d, "f_slab").filter("pyr = 'A'").select("lvl", "col", "row", "prio"), ["lvl", "col", "row"]).select("event_id", "prio")
 
 
-@query("q_gettile_ondemand", "SELECT col // 16 AS tc, row // 16 AS tr, count(*) AS cells, round(sum(CASE WHEN mask <> 0 THEN z ELSE 0 END), 4) AS total FROM f_dem WHERE col < 64 GROUP BY 1, 2")
+ODS_SQL = "SELECT col, row, CASE WHEN b.z IS NOT NULL THEN b.z ELSE a.z END AS z FROM f_dem a LEFT JOIN (SELECT col, row, z * 2 AS z FROM f_dem WHERE mask <> 0 AND col BETWEEN 20 AND 80) b USING (col, row)"
+
+
+@query("q_gettile_ondemand", f"SELECT col, row, CAST(z AS FLOAT)::DOUBLE AS z FROM ({ODS_SQL}) o")
 def q_gettile_ondemand(spark, d):
-    """Tiles of 16 x 16 computed from their source cells."""
-    dem = view(spark, d, "f_dem").filter("col < 64")
-    return dem.groupBy(F.floor(c("col") / 16).alias("tc"), F.floor(c("row") / 16).alias("tr")).agg(F.count("*").alias("cells"), F.round(F.sum(F.when(c("mask") != 0, c("z")).otherwise(0.0)), 4).alias("total"))
+    """Tiles of 15 x 10 made when asked for: the level's sources merged, later ones on top, then encoded; here decoded again."""
+    tiles = slabs.encode_tiles(slabs.tile_samples(join_ods_sources(spark, d), ["z"], 15, 10), 15, 10, 1, "float32", "zip")
+    return slabs.cells_of(slabs.decode_tiles(tiles, 15, 10, 1, "float32", "zip"), ["z"], 15, 10, "double")
 
 
 @query("q_gfi_pyramid", "SELECT event_id, r, g, b FROM f_rgb p JOIN (SELECT event_id, user_id % 100 AS col, event_id % 30 AS row FROM events) e ON e.col = p.col AND e.row = p.row")
@@ -256,7 +260,7 @@ def join_layer_style_pyramid(spark, d):
     return table(spark, d, "events").join(F.broadcast(dims), c("event_id") % 5 == c("ord")).select("event_id", "res", "slabs")
 
 
-@query("join_ods_sources", "SELECT col, row, CASE WHEN b.z IS NOT NULL THEN b.z ELSE a.z END AS z FROM f_dem a LEFT JOIN (SELECT col, row, z * 2 AS z FROM f_dem WHERE mask <> 0 AND col BETWEEN 20 AND 80) b USING (col, row)")
+@query("join_ods_sources", ODS_SQL)
 def join_ods_sources(spark, d):
     """Sources of an on-demand level, later ones on top, each within its own area."""
     dem = view(spark, d, "f_dem")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..operators import toolbox as tb
+from ..operators.pyramid import all_ancestors, numbered
 from ..sources.tables import table, view
 from .q_build import listed, scan_slab_list
 from .q_grid import _path_sql
@@ -17,7 +17,7 @@ MIXED, CUT = _path_sql("col", "row", 3)
 
 # Slabs of 4 x 4 tiles: 64 x 64 pixels.
 SQL_SLABS = """SELECT *, unnest(range(CAST(trunc((y0 - ymax) / (res * 64)) AS BIGINT), CAST(trunc((y0 - ymin) / (res * 64)) AS BIGINT) + 1)) AS row FROM (
-SELECT *, unnest(range(CAST(trunc((xmin - x0) / (res * 64)) AS BIGINT), CAST(trunc((xmax - x0) / (res * 64)) AS BIGINT) + 1)) AS col FROM (SELECT i.img_id, xmin, ymin, xmax, ymax, t.* FROM f_img i, f_tm t WHERE i.img_id % 10 = 3 AND t.ord >= 1) b) b1"""
+SELECT *, unnest(range(CAST(trunc((xmin - x0) / (res * 64)) AS BIGINT), CAST(trunc((xmax - x0) / (res * 64)) AS BIGINT) + 1)) AS col FROM (SELECT i.img_id, xmin, ymin, xmax, ymax, t.* FROM f_img i, f_tm t) b) b1"""
 SQL_GEOM = f"""SELECT DISTINCT id, col, row, x0, y0, res FROM ({SQL_SLABS}) g WHERE xmin <= x0 + (col + 1) * res * 64 AND xmax >= x0 + col * res * 64 AND ymin <= y0 - row * res * 64 AND ymax >= y0 - (row + 1) * res * 64"""
 WKT = "printf('POLYGON((%.2f %.2f,%.2f %.2f,%.2f %.2f,%.2f %.2f,%.2f %.2f))', xa, ya, xa, yb, xb, yb, xb, ya, xa, ya)"
 XY = "x0 + col * res * 64 AS xa, y0 - (row + 1) * res * 64 AS ya, x0 + (col + 1) * res * 64 AS xb, y0 - row * res * 64 AS yb"
@@ -25,13 +25,13 @@ INSERT = f"'INSERT INTO slabs (level, col, row, geom) VALUES (' || id || ', ' ||
 GETTILE = "'LAYER=LAYER&TILEMATRIX=' || id || '&TILECOL=' || col || '&TILEROW=' || row"
 
 
-def levels(spark, d, least=1):
-    return view(spark, d, "f_tm").filter(c("ord") >= least)
+def levels(spark, d):
+    return view(spark, d, "f_tm")
 
 
 def boxes(spark, d):
     b = grid.box(c("xmin"), c("ymin"), c("xmax"), c("ymax"))
-    return view(spark, d, "f_img").filter("img_id % 10 = 3").select("img_id", b.alias("box"))
+    return view(spark, d, "f_img").select("img_id", b.alias("box"))
 
 
 def slabs(spark, d):
@@ -57,10 +57,11 @@ def tb_bbox_sql(spark, d):
     return slabs(spark, d).select("id", "col", "row", "x0", "y0", "res", "tile_w", "tile_h").distinct().select(tb.sql_insert(tb.slab_box(4, 4)).alias("stmt"))
 
 
-@query("tb_bboxes_slabs", f"SELECT DISTINCT id, col, row FROM ({SQL_SLABS}) s WHERE img_id % 20 = 3")
+@query("tb_bboxes_slabs", f"SELECT DISTINCT id, col, row FROM ({SQL_SLABS}) s")
 def tb_bboxes_slabs(spark, d):
     """A list of boxes as text lines; lines that are no box are passed over."""
-    b = boxes(spark, d).select(F.when(c("img_id") % 20 == 3, F.concat_ws(",", *[c(f"box.{n}").cast("string") for n in ("xmin", "ymin", "xmax", "ymax")])).otherwise("no box").alias("line"))
+    written = boxes(spark, d).select(F.concat_ws(",", *[c(f"box.{n}").cast("string") for n in ("xmin", "ymin", "xmax", "ymax")]).alias("line"))
+    b = written.unionByName(spark.createDataFrame([("xmin,ymin,xmax,ymax",), ("",), ("1,2,3",)], "line string"))
     ok = b.filter(c("line").rlike(r"^-?[0-9.]+(,-?[0-9.]+){3}$")).withColumn("p", F.split("line", ",").cast("array<double>"))
     parsed = ok.select(grid.box(*[c("p")[k] for k in range(4)]).alias("box"))
     return tb.bbox_slabs(parsed, levels(spark, d), 4, 4).select("id", "col", "row").distinct()
@@ -122,8 +123,7 @@ def tb_list_geom(spark, d):
 @query("tb_list_gettile", f"SELECT pyr, 'LAYER=LAYER&TILEMATRIX=' || id || '&TILECOL=' || (col * 4 + (col * 7 + row) % 4) || '&TILEROW=' || (row * 4 + (row * 5 + col) % 4) AS params FROM (SELECT *, row_number() OVER (PARTITION BY pyr, id ORDER BY col, row) AS n FROM {SLABS_TM}) q WHERE n % 10 = 0")
 def tb_list_gettile(spark, d):
     """Every tenth slab of each level in order, and in it a tile chosen by its indices."""
-    n = F.row_number().over(Window.partitionBy("pyr", "id").orderBy("col", "row"))
-    s = inventory(spark, d, from_list=True).withColumn("n", n).filter("n % 10 = 0")
+    s = numbered(inventory(spark, d, from_list=True), ["pyr", "id"], ["col"], ["row"]).filter("n % 10 = 0")
     t = s.select("pyr", "id", (c("col") * 4 + (c("col") * 7 + c("row")) % 4).alias("col"), (c("row") * 4 + (c("row") * 5 + c("col")) % 4).alias("row"))
     return t.select("pyr", tb.gettile_params().alias("params"))
 
@@ -143,16 +143,13 @@ def tb_slab_geom(spark, d):
 @query("tb_slabs_getmap", f"SELECT DISTINCT CASE WHEN id % 2 = 0 THEN printf('WIDTH=64&HEIGHT=64&BBOX=%.2f,%.2f,%.2f,%.2f', ya, xa, yb, xb) ELSE printf('WIDTH=64&HEIGHT=64&BBOX=%.2f,%.2f,%.2f,%.2f', xa, ya, xb, yb) END AS params FROM (SELECT id, {XY} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pyr, col, row) AS n FROM {SLABS_TM}) s WHERE n % 5 = 0) q")
 def tb_slabs_getmap(spark, d):
     """Every fifth line, then distinct; axes are inverted for the systems that ask for it."""
-    n = F.row_number().over(Window.partitionBy("id").orderBy("pyr", "col", "row"))
-    s = inventory(spark, d).withColumn("n", n).filter("n % 5 = 0")
+    s = numbered(inventory(spark, d), ["id"], ["pyr", "col"], ["row"]).filter("n % 5 = 0")
     return s.select(tb.getmap_params(tb.slab_box(4, 4), c("id") % 2 == 0).alias("params")).distinct()
 
 
-@query("tb_slabs_paths", f"SELECT lvl, col, row, {CUT} AS path FROM (SELECT *, {MIXED} AS m FROM (SELECT DISTINCT k AS lvl, col >> (k - lvl) AS col, row >> (k - lvl) AS row FROM (SELECT col, row, lvl, unnest(range(lvl, 6)) AS k FROM f_slab WHERE lvl <= 2) a) b) e")
+@query("tb_slabs_paths", f"SELECT lvl, col, row, {CUT} AS path FROM (SELECT *, {MIXED} AS m FROM (SELECT DISTINCT k AS lvl, col >> (k - lvl) AS col, row >> (k - lvl) AS row FROM (SELECT col, row, lvl, unnest(range(lvl, 8)) AS k FROM f_slab) a) b) e")
 def tb_slabs_paths(spark, d):
-    from ..operators.pyramid import all_ancestors
-
-    s = all_ancestors(view(spark, d, "f_slab").filter("lvl <= 2").select("lvl", "col", "row"), 5)
+    s = all_ancestors(view(spark, d, "f_slab").select("lvl", "col", "row"), 7)
     return s.select(c("lvl").cast("long").alias("lvl"), "col", "row", grid.b36_path(c("col"), c("row"), 3).alias("path"))
 
 

@@ -1,4 +1,4 @@
-"""All queries of the raster and pyramid engine, with their SQL twins."""
+"""Where queries of the raster and pyramid engine are registered, with their SQL twins."""
 
 from __future__ import annotations
 
@@ -20,10 +20,3 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return put
-
-
-def _load() -> None:
-    from . import q_build, q_files, q_grid, q_io, q_raster, q_request, q_toolbox  # noqa: F401
-
-
-_load()

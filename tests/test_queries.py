@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF, rows
 
-from terrapix.plans.registry import ORACLE_SQL, QUERIES
+from terrapix.plans.catalog import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
