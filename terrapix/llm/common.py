@@ -23,8 +23,10 @@ def fold(doc_id, n: int):
 def text_sample(rows: DataFrame, max_rows: int, max_chars: int, seed: int) -> list[tuple]:
     """Rows (doc_id, text, ...) to fit a model on: all while both bounds hold, else a share picked by a hash of doc_id.
 
-    max_rows and max_chars bound what reaches the driver, in expectation; the share follows from counts over all rows only.
+    max_rows and max_chars bound what reaches the driver: in expectation, and as texts of over max_chars / 20 characters are
+    no part of the sample, with little spread. The share follows from counts over all other rows only.
     """
+    rows = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= max(1, max_chars // 20))
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     share = min(1.0, max_rows / max(n, 1), max_chars / max(chars, 1))
     if share < 1:

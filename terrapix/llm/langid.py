@@ -21,6 +21,7 @@ SLOT_BITS = 19
 PROBES = 3
 MAX_ROWS = 4_000
 MAX_CHARS = 6_000_000
+MAX_LANGUAGES = 1000
 MIN_SHARE = 2e-5
 RATIO = 0.25
 UNKNOWN = "und"
@@ -84,23 +85,23 @@ class LanguageFilter:
         return self.languages[best], float(found[best] / found.sum()) if found.sum() else 0.0
 
 
-def fit(rows: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, seed: int = 3) -> LanguageFilter:
+def fit(rows: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, seed: int = 3, max_languages: int = MAX_LANGUAGES) -> LanguageFilter:
     """Learns from rows (doc_id, text, lang) with a text and a lang.
 
     A share of each language's rows, picked by a hash of doc_id, is gathered, so that in expectation at most max_rows rows and
-    max_chars characters reach the driver. An n-gram belongs to a language if it makes up at least MIN_SHARE of its n-grams
+    max_chars characters reach the driver; texts of over max_chars / 20 characters are no part of it. Of more than
+    max_languages values of lang the most frequent are learned. An n-gram belongs to a language if it makes up at least MIN_SHARE of its n-grams
     and RATIO of the largest share it has in any language, which keeps strays from mislabelled rows out.
     """
-    rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()
+    rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.length("text") <= max(1, max_chars // 20)).select("doc_id", "text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not sizes:
         return LanguageFilter({})
-    picked = F.lit(False)
-    for lang, n, c in sizes:
-        share = min(1.0, max_rows / len(sizes) / n, max_chars / len(sizes) / max(c, 1))
-        picked = picked | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    shares = [(lang, int(1_000_000 * min(1.0, max_rows / len(sizes) / n, max_chars / len(sizes) / max(c, 1)))) for lang, n, c in sizes]
+    least = F.broadcast(rows.sparkSession.createDataFrame(shares, "lang string, least long"))  # max_languages rows at most
+    picked = rows.join(least, "lang").filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < F.col("least"))
     texts: dict[str, list[str]] = {}
-    for lang, text in rows.filter(picked).select("lang", "text").collect():
+    for lang, text in picked.select("lang", "text").collect():
         texts.setdefault(lang, []).append(text)
     shares = {}
     for lang, own in texts.items():

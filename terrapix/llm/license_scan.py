@@ -6,6 +6,9 @@ by the number of documents that hold them, rarest first, over all documents. Wit
 shares a word among the template's first |T| - o + 1 and the block's first |B| - o + 1 ordered words (prefix filter), |B|
 is at least o (length filter), and the words left after the first shared one must suffice (positional filter). Words outside
 all templates change no overlap and are left out of |B|. What passes is verified exactly.
+
+Templates of up to BLOCK - STEP words share these blocks. Longer ones are scanned in blocks of their own, twice as wide for
+each doubling of a template's words, so that a template of any length lies whole in one of its blocks.
 """
 
 from __future__ import annotations
@@ -51,6 +54,14 @@ def words_of(text) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
+def _width(words: int, most: int) -> int:
+    """The first power of two by which a block must grow to hold so many words wherever they start."""
+    width = 1
+    while words > most * width:
+        width *= 2
+    return width
+
+
 def _places(words: Column, phrase: str) -> Column:
     parts = phrase.split(" ")
     test = lambda i: F.array_join(F.slice(words, i + 1, len(parts)), " ") == phrase
@@ -68,14 +79,13 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     matches is an array of (template number, first word of the block, containment), ordered, of every matching block; labels
     joins base_labels with the templates'. score is 1 where a base phrase stands, else the largest containment of a matching
     block, else 0. Null and empty texts have no words, null first_word and last_word, and empty labels. Repeated rows each
-    give a row; further columns are ignored. An empty table gives an empty result. Templates longer than block - step words
-    may be cut by every block and are refused.
+    give a row; further columns are ignored. An empty table gives an empty result. Blocks have the given width and step for
+    templates of up to block - step words, and for longer ones the first power of two times as much that holds them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "license")
     sets = [list(dict.fromkeys(t.split())) for _, t in templates]
-    if any(len(t.split()) > block - step for _, t in templates):
-        raise ValueError("a template must have at most block - step words")
+    widths = [_width(len(t.split()), block - step) for _, t in templates]
     vocabulary = sorted({w for s in sets for w in s})
     texts = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     counts = texts.select(F.explode(F.array_intersect(_array(vocabulary), "words")).alias("w")).groupBy("w").count()
@@ -87,16 +97,23 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     prefixes = sorted({w for s, o in zip(sets, needs, strict=True) for w in s[: len(s) - o + 1]}, key=rank.get)
 
     labels = [_places(F.col("words"), p).alias(f"p{k}") for k, p in enumerate(PHRASES)]
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))
-    cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_intersect(_array(order), F.slice("words", i + 1, block)).alias("has")))
-    blocks = F.when(F.arrays_overlap("words", _array(prefixes)), F.filter(cut, lambda b: F.arrays_overlap(b["has"], _array(prefixes)))).otherwise(F.expr("CAST(array() AS array<struct<at:int,has:array<string>>>)"))
+    none = F.expr("CAST(array() AS array<struct<at:int,width:int,has:array<string>>>)")
+
+    def cut(width: int) -> Column:
+        """The blocks of a width, with the template words of that width that each holds; those that can match something."""
+        own = [w for w in order if any(w in s for s, x in zip(sets, widths, strict=True) if x == width)]
+        least = [w for w in prefixes if any(w in s[: len(s) - o + 1] for s, o, x in zip(sets, needs, widths, strict=True) if x == width)]
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step * width))
+        every = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(width).alias("width"), F.array_intersect(_array(own), F.slice("words", i + 1, block * width)).alias("has")))
+        return F.when(F.arrays_overlap("words", _array(least)), F.filter(every, lambda b: F.arrays_overlap(b["has"], _array(least)))).otherwise(none)
+
+    blocks = F.concat(none, *[cut(width) for width in sorted(set(widths))])
     rows = scratch.write(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), *labels, blocks.alias("blocks")))
 
-    sizes = [F.struct(F.lit(k).alias("t"), F.lit(len(s)).alias("size"), F.lit(o).alias("need"), F.lit(i).alias("i")) for k, (s, o) in enumerate(zip(sets, needs, strict=True)) for i in range(len(s) - o + 1)]
-    of_prefix = F.create_map(*[x for w in prefixes for x in (F.lit(w), F.array(*[c for c, (k, i) in zip(sizes, [(k, i) for k, (s, o) in enumerate(zip(sets, needs, strict=True)) for i in range(len(s) - o + 1)], strict=True) if sets[k][i] == w]))])
-    postings = spark.range(1).select(F.explode(of_prefix).alias("w", "list")).select("w", F.explode("list").alias("p")).select("w", "p.*")
-    found = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.at", "b.has").select("row", "at", "has", F.size("has").alias("n"), F.posexplode("has").alias("j", "w"))
-    near = found.join(F.broadcast(postings), "w").filter((F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")))
+    postings = [F.struct(F.lit(s[i]).alias("w"), F.lit(x).alias("width"), F.lit(k).alias("t"), F.lit(len(s)).alias("size"), F.lit(o).alias("need"), F.lit(i).alias("i")) for k, (s, o, x) in enumerate(zip(sets, needs, widths, strict=True)) for i in range(len(s) - o + 1)]
+    postings = spark.range(1).select(F.explode(F.array(*postings)).alias("p")).select("p.*")
+    found = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.*").select("row", "at", "width", "has", F.size("has").alias("n"), F.posexplode("has").alias("j", "w"))
+    near = found.join(F.broadcast(postings), ["w", "width"]).filter((F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")))
     near = near.groupBy("row", "at", "t").agg(F.min(F.struct("j", "i", "n", "size", "need", "has")).alias("x"))
     near = near.filter(F.expr("1 + least(x.size - x.i, x.n - x.j) - 1 >= x.need"))
     template = F.element_at(F.array(*[_array(s) for s in sets]), F.col("t") + 1)

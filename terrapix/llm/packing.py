@@ -177,14 +177,16 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKE
 
 
 def packed(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Adds sequence_id and offset to pieces, which need a column length (long, 1..max_tokens) and fit columns only.
+    """Adds sequence_id and offset to pieces, which need a column length (long, 1..max_tokens).
 
     The plan's size is bounded by max_tokens; the pieces stay distributed. pieces is stored once, so its columns should be
-    the ones wanted in the result. An empty table gives an empty result.
+    the ones wanted in the result. All other columns stay as they are, whatever their names, but columns named sequence_id or
+    offset are replaced. Repeated rows are packed each; an empty table gives an empty result.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    stored = scratch.write(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    held = F.struct(*[F.col(f"`{x}`") for x in pieces.columns if x not in ("sequence_id", "offset")])
+    stored = scratch.write(pieces.select(held.alias("piece"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("_row")))
     n = stored.count()
     salts = min(MAX_SALTS, max(1, -(-n // SALT_ROWS)))
     salted = stored.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
@@ -207,4 +209,5 @@ def packed(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
         return pd.DataFrame({"sequence_id": seg[:, 3] + i // seg[:, 4], "offset": seg[:, 5] + i % seg[:, 4] * size})
 
     out = ranked.withColumn("_at", place("length", "_rank"))
-    return out.select(*[c for c in pieces.columns], F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    own_columns = [F.col("piece").getField(x).alias(x) for x in pieces.columns if x not in ("sequence_id", "offset")]
+    return out.select(*own_columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))

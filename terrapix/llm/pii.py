@@ -5,7 +5,8 @@ semi-Markov CRF scores candidate segments of at most MAX_TOKENS tokens by featur
 checksum, octets, surroundings), and dynamic programming over segment ends chooses boundaries and types together. The model
 is trained here on windows whose base spans serve as labels, and on copies of them written in other ways (an address with
 "at" and "dot", a telephone number without its plus, a card number with dots), so that it adds spans which the patterns
-cannot see. Base spans always stay; a span is added where it overlaps none of them.
+cannot see. One kind has no base pattern: a secret (a token, key or password), learned from long runs of letters and digits
+that are assigned to a name of that sort. Base spans always stay; a span is added where it overlaps none of them.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ from pyspark.sql import functions as F
 from .common import text_sample
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
+EVERY_KIND = (*KINDS, SECRET)
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: What serves as a label of a secret in training.
+ASSIGNED = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer)[\"']?\s{0,3}[:=]?\s{0,3}[\"']?((?:[A-Za-z]{2,8}[_-])*(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,})")
 
 MAX_TOKENS = 22
 REACH = 48
@@ -36,10 +41,17 @@ MAX_CHARS = 2_000_000
 EPOCHS = 4
 RATE = 0.3
 L2 = 1e-3
-_token = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]").finditer
+#: Examples to train on, and the longest of them in characters; longer windows are cut.
+MAX_EXAMPLES = 600
+MAX_WINDOW = 1000
+#: Length from which a run of both letters and digits is one token.
+LONG_RUN = 16
+_token = re.compile(rf"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{{{LONG_RUN},}}|[A-Za-z]+|[0-9]+|[^A-Za-z0-9]").finditer
 _trigger = re.compile(r"@|[0-9]|(?<![A-Za-z])(?:dot|DOT)(?![A-Za-z])").finditer
+_joined_after = re.compile(r"[\s(\[]{0,2}dot\b|\.[A-Za-z]", re.I).match
+_joined_before = re.compile(r"\bdot[\s)\]]{1,2}\Z|[A-Za-z0-9]\.\Z", re.I).search
 _runs = re.compile(r"(.)\1+")
-CLUES = {"mail": "email", "email": "email", "contact": "email", "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "card": "card", "visa": "card", "payment": "card", "phone": "phone", "tel": "phone", "telephone": "phone", "call": "phone", "mobile": "phone", "fax": "phone"}
+CLUES = {"mail": "email", "email": "email", "contact": "email", "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "card": "card", "visa": "card", "payment": "card", "phone": "phone", "tel": "phone", "telephone": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "token": "secret", "secret": "secret", "key": "secret", "password": "secret", "passwd": "secret", "pwd": "secret", "auth": "secret", "bearer": "secret", "credential": "secret"}
 
 
 def luhn(digits: str) -> bool:
@@ -63,8 +75,8 @@ def emails(t: str) -> Iterator[tuple[int, int]]:
         start = end + len(t[end:at].rstrip(LOCAL))
         m = _domain(t, at + 1)
         if m and start < at:
-            end = m.end()
-            yield start, end
+            yield start, m.end()
+        end = m.end() if m and start < at else at + 1  # no local part reaches over an @
         at = t.find("@", max(at + 1, end))
 
 
@@ -100,10 +112,32 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         yield lo, hi
 
 
+def _secret_features(text: str, a: int, b: int) -> list[str]:
+    """Features of a long run of letters and digits, with what is joined to it."""
+    s, ahead = text[a:b], text[max(0, a - 24) : a].lower()
+    run = max(re.findall("[A-Za-z0-9]+", s), key=len)
+    share = sum(c.isdigit() for c in run) / len(run)
+    quoted = text[a - 1 : a] in ("'", '"') and text[b : b + 1] == text[a - 1 : a]
+    clue = {CLUES[w] for w in re.findall("[a-z]+", ahead) if w in CLUES}
+    return [
+        f"long={min(len(run) // 8, 8)}",
+        f"hex={all(c in '0123456789abcdefABCDEF' for c in run)}",
+        f"digits={int(share * 4)}",
+        f"mixed={run.lower() != run and run.upper() != run}",
+        f"quoted={quoted}",
+        f"assigned={bool(re.search(r'[:=]\s*.?$', ahead))}",
+        f"clue={SECRET in clue}{bool(clue - {SECRET})}",
+        f"joined={len(s) > len(run)}",
+        f"edge={text[a - 1 : a] in ('.', '-', '/', '@', '_')}{text[b : b + 1] in ('-', '@', '_', '/')}",
+    ]
+
+
 def span_features(kind: str, text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
     """Features of tokens i..j-1 of text as one span of the kind."""
     a, b = tokens[i][0], tokens[j - 1][1]
     s = text[a:b]
+    if kind == SECRET:
+        return [f"{kind}|{x}" for x in _secret_features(text, a, b)]
     digits = "".join(c for c in s if c.isdigit())
     lower = s.lower()
     shape = _runs.sub(r"\1", re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "9", s)))
@@ -112,6 +146,7 @@ def span_features(kind: str, text: str, tokens: list[tuple[int, int]], i: int, j
     if "@" in s or re.search(r"\s(at|dot)\s", lower):
         plain = re.sub(r"[\s(\[]*\bdot\b[\s)\]]*", ".", re.sub(r"[\s(\[]*\bat\b[\s)\]]*", "@", lower))
         out.append(f"mail={bool(EMAIL.fullmatch(plain))}{'dot' in lower or '@' in s}{' ' in plain}")
+        out.append(f"more={bool(_joined_after(text, b))}{bool(_joined_before(text[max(0, a - 6) : a]))}")
     elif kind == "email":
         return []
     parts = s.split(".")
@@ -130,6 +165,14 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> dict[int, list[tuple
     kinds = [text[a] for a, _ in tokens]
     n = len(tokens)
     odd = [not c.isalnum() for c in kinds]
+    long = [b - a >= LONG_RUN and not odd[k] and not text[a:b].isalpha() and not text[a:b].isdigit() for k, (a, b) in enumerate(tokens)]
+    for j in [k + 1 for k in range(n) if long[k]]:
+        i = j - 1
+        while True:  # the run alone, and with up to three words joined to its front
+            found.setdefault(j, []).append((i, SECRET, span_features(SECRET, text, tokens, i, j)))
+            if i < 2 or j - i >= 7 or kinds[i - 1] not in "_-" or odd[i - 2]:
+                break
+            i -= 2
     for i in range(n):
         if kinds[i].isspace() or (odd[i] and kinds[i] not in "+("):
             continue
@@ -140,6 +183,8 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> dict[int, list[tuple
             if c == "\n":
                 break
             word = text[tokens[j - 1][0] : tokens[j - 1][1]]
+            if long[j - 1]:
+                break
             if c.isdigit():
                 digits += len(word)
             at = at or c == "@" or word.lower() == "at"
@@ -251,34 +296,45 @@ def _rewritten(text: str, gold: set, rng: random.Random) -> tuple[str, set] | No
     return text[:a] + new + text[b:], {(k, x + shift * (x >= b), y + shift * (y >= b)) for k, x, y in gold if (k, x, y) != (kind, a, b)} | {(kind, a, a + len(new))}
 
 
-def _examples(texts: list[str], limit: int = 600) -> list[tuple[str, set]]:
-    rng, out = random.Random(10), []
-    for t in texts:
-        spans = base_spans(t)
-        for lo, hi in windows(t):
-            if hi - lo > 1000 or len(out) >= limit:
-                continue
-            gold: set = set()
-            for kind, a, b in spans:
-                if lo <= a and b <= hi and not any(x < b - lo and a - lo < y for _, x, y in gold):
-                    gold.add((kind, a - lo, b - lo))
-            out.append((t[lo:hi], gold))
-            if gold and (again := _rewritten(t[lo:hi], gold, rng)):
-                out.append(again)
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    """The windows of a text, those over MAX_WINDOW characters in pieces."""
+    for lo, hi in windows(text):
+        for k in range(lo, hi, MAX_WINDOW):
+            yield k, min(k + MAX_WINDOW, hi)
+
+
+def _examples(texts: list[str], limit: int = MAX_EXAMPLES) -> list[tuple[str, set]]:
+    """Windows of the texts with the spans that serve as labels, and copies written another way; at most limit windows, drawn evenly from all."""
+    rng = random.Random(10)
+    places = [(k, lo, hi) for k, t in enumerate(texts) for lo, hi in _pieces(t)]
+    if len(places) > limit:
+        places = sorted(rng.sample(places, limit))
+    out, spans, last = [], [], -1
+    for k, lo, hi in places:
+        t = texts[k]
+        if k != last:
+            spans, last = [*base_spans(t), *((SECRET, *m.span(1)) for m in ASSIGNED.finditer(t))], k
+        gold: set = set()
+        for kind, a, b in spans:
+            if lo <= a and b <= hi and not any(x < b - lo and a - lo < y for _, x, y in gold):
+                gold.add((kind, a - lo, b - lo))
+        out.append((t[lo:hi], gold))
+        if gold and (again := _rewritten(t[lo:hi], gold, rng)):
+            out.append(again)
     return out
 
 
 #: Examples that do not depend on the corpus: what looks like personal data but is not, and plain cases of each kind.
-SEEDS = [("call +1 (555) 010-9999 now", "phone", "+1 (555) 010-9999"), ("mail ann.lee@mail.example.org today", "email", "ann.lee@mail.example.org"), ("mail ann at example dot org today", "email", "ann at example dot org"), ("write to bo.ek at mail dot example dot net or", "email", "bo.ek at mail dot example dot net"), ("is c_d (at) example dot com it", "email", "c_d (at) example dot com"), ("from host 203.0.113.7 again", "ip", "203.0.113.7"), ("paid by 4111 1111 1111 1111 then", "card", "4111 1111 1111 1111"), ("paid by 4111.1111.1111.1111 then", "card", "4111.1111.1111.1111"), ("call (555) 010-9999 now", "phone", "(555) 010-9999"), ("version 12.4.1 of 2024-01-31 at noon", "", ""), ("order 4111111111111112 at 10.30 for 250", "", ""), ("we met at the dot of noon in 1999", "", ""), ("a1b2c3d4e5f60718293a4b5c", "", ""), ("1,234,567.89 in 2020 - 2021", "", "")]
+SEEDS = [("call +1 (555) 010-9999 now", "phone", "+1 (555) 010-9999"), ("mail ann.lee@mail.example.org today", "email", "ann.lee@mail.example.org"), ("mail ann at example dot org today", "email", "ann at example dot org"), ("write to bo.ek at mail dot example dot net or", "email", "bo.ek at mail dot example dot net"), ("is c_d (at) example dot com it", "email", "c_d (at) example dot com"), ("from host 203.0.113.7 again", "ip", "203.0.113.7"), ("paid by 4111 1111 1111 1111 then", "card", "4111 1111 1111 1111"), ("paid by 4111.1111.1111.1111 then", "card", "4111.1111.1111.1111"), ("call (555) 010-9999 now", "phone", "(555) 010-9999"), ("version 12.4.1 of 2024-01-31 at noon", "", ""), ("order 4111111111111112 at 10.30 for 250", "", ""), ("we met at the dot of noon in 1999", "", ""), ("commit a1b2c3d4e5f60718293a4b5c of the branch", "", ""), ("see page /p/3f2a9c0b17de4471a0c5 for more", "", ""), ("sha1 da39a3ee5e6b4b0d3255bfef95601890afd80709 of it", "", ""), ('token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" in', "secret", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"), ("api key: ab_live_4eC39HqLyjWDarjtT1zdp7dc now", "secret", "ab_live_4eC39HqLyjWDarjtT1zdp7dc"), ("password=hunter2hunter2hunter2x9", "secret", "hunter2hunter2hunter2x9"), ("1,234,567.89 in 2020 - 2021", "", "")]
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> SegmentModel:
-    """Trains on the texts of docs (doc_id, text) that hold a trigger, a sample bounded by max_rows and max_chars."""
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_examples: int = MAX_EXAMPLES) -> SegmentModel:
+    """Trains on the texts of docs (doc_id, text) that hold a trigger: a sample bounded by max_rows and max_chars, and at most max_examples windows drawn evenly from all of its texts."""
     rows = docs.select("doc_id", "text").filter(F.col("text").rlike("@|[0-9]{4}|\\.[0-9]+\\."))
     texts = [t for _, t in text_sample(rows, max_rows, max_chars, 10)]
     seeds = [(t, {(k, t.index(s), t.index(s) + len(s))} if k else set()) for t, k, s in SEEDS] * 8
-    model = SegmentModel({f"{k}|": -2.0 for k in KINDS})
-    model.train(_examples(texts) + seeds)
+    model = SegmentModel({f"{k}|": -2.0 for k in EVERY_KIND})
+    model.train(_examples(texts, max_examples) + seeds)
     return model
 
 
@@ -296,17 +352,18 @@ def all_spans(text: str | None, model: SegmentModel) -> list[tuple[str, int, int
             k = bisect.bisect_left(starts, a - longest)
             if not any(y > a for _, y in taken[k : bisect.bisect_left(starts, b)]):
                 out.append((kind, a, b, False))
-    return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+    return sorted(out, key=lambda x: (EVERY_KIND.index(x[0]), x[1], x[2]))
 
 
 def digest(spans: list[tuple]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in spans)
 
 
-def find(docs: DataFrame, model: SegmentModel) -> DataFrame:
-    """Adds pii, an array of (kind, start, end, base), to docs (text, ...): all spans of the whole text in code points, end exclusive.
+def find(docs: DataFrame, model: SegmentModel, into: str = "pii") -> DataFrame:
+    """Adds, under the name into, an array of (kind, start, end, base) to docs (text, ...): all spans of the whole text in code points, end exclusive, by kind and start.
 
-    Null and empty texts have none. Repeated rows each get their spans; other columns are passed on unread.
+    Null and empty texts have none. Repeated rows each get their spans; an empty table gives an empty one. Other columns are
+    passed on unread, but one named like into is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -315,5 +372,4 @@ def find(docs: DataFrame, model: SegmentModel) -> DataFrame:
         for t in texts:
             yield pd.Series([[{"kind": k, "start": a, "end": b, "base": s} for k, a, b, s in all_spans(x, sent.value)] for x in t], dtype="object")
 
-    return docs.withColumn("pii", run("text"))
-
+    return docs.withColumn(into, run("text"))

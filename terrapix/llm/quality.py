@@ -146,8 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
     return QualityModel([t for _, t, _ in got], [int(x) for *_, x in got])
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """Adds score (0 to 1) to docs (text, ...) from the whole text; null texts count as empty, and every row gets a score."""
+def score(docs: DataFrame, model: QualityModel, into: str = "score") -> DataFrame:
+    """Adds a score (0 to 1), under the name into, to docs (text, ...) from the whole text.
+
+    Null texts count as empty, and every row gets a score, repeated ones too; an empty table gives an empty one. Other columns
+    are passed on unread, but one named like into is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -156,4 +160,4 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
         for t in texts:
             yield pd.Series([sent.value.score(x, seen) for x in t], dtype="float64")
 
-    return docs.withColumn("score", rate("text"))
+    return docs.withColumn(into, rate("text"))

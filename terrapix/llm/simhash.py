@@ -376,8 +376,8 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     labels = components(edges, scratch)
     own = scratch.write(distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "first"))
     best = scratch.write(own.groupBy("label").agg(F.min("first").alias("best")))
-    where = scratch.write(own.join(best, "label").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row")))
-    return rows.join(where, "fp").select("doc_id", "fp", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")
+    where = scratch.write(own.join(best.hint("merge"), "label").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row")))
+    return rows.join(where.hint("merge"), "fp").select("doc_id", "fp", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")
 
 
 def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = 64, chunk: int = CHUNK, measure: str = "jaccard") -> DataFrame:
@@ -396,18 +396,18 @@ def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMIL
     nodes = scratch.write(rows.groupBy("fp", "sig").agg(first.alias("first"), F.min("row").alias("id"), F.min("bands").alias("bands")))
     bands = scratch.write(nodes.select("id", F.posexplode("bands").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("shard")))
     shared = scratch.write(bands.groupBy("shard").count().filter("count > 1").select("shard"))
-    cells = scratch.write(bands.join(shared, "shard").select("id", "shard"))
+    cells = scratch.write(bands.join(shared.hint("merge"), "shard").select("id", "shard"))
     scratch.drop(bands, shared)
-    cells = scratch.write(cells.join(nodes.select("id", "fp", "sig"), "id"))
+    cells = scratch.write(cells.join(nodes.select("id", "fp", "sig").hint("merge"), "id"))
     near = scratch.write(_search(cells, scratch, radius, chunk, Check(measure, similarity - MARGIN)).distinct())
     scratch.drop(cells)
     clusters = scratch.write(components(near, scratch).select(F.col("node").alias("id"), F.col("label").alias("shard")))
-    members = scratch.write(clusters.join(nodes.select("id", "fp", "sig"), "id").join(rows.select(F.col("row").alias("id"), "text_hash"), "id"))
+    members = scratch.write(clusters.join(nodes.select("id", "fp", "sig").hint("merge"), "id").join(rows.select(F.col("row").alias("id"), "text_hash").hint("merge"), "id"))
     cells = scratch.write(_with_hashes(docs, members, shingle, measure))
     edges = scratch.write(_search(cells, scratch, 64, chunk, Check(measure, similarity - MARGIN, similarity, shingle)).distinct())
     scratch.drop(cells, members)
     labels = components(edges, scratch)
     own = scratch.write(nodes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp", "sig", F.coalesce("label", "id").alias("label"), "first"))
     best = scratch.write(own.groupBy("label").agg(F.min("first").alias("best")))
-    where = scratch.write(own.join(best, "label").select("fp", "sig", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row")))
-    return rows.join(where, ["fp", "sig"]).select("doc_id", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")
+    where = scratch.write(own.join(best.hint("merge"), "label").select("fp", "sig", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row")))
+    return rows.join(where.hint("merge"), ["fp", "sig"]).select("doc_id", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")

@@ -54,8 +54,14 @@ def test_license(spark, odd, none):
     empty = next(r for r in got if r["doc_id"] == 2)
     assert (empty["n_words"], empty["first_word"], empty["labels"], empty["score"]) == (0, None, "", 0.0)
     assert license_scan.license_scan(none).count() == 0
-    with pytest.raises(ValueError):
-        license_scan.license_scan(none, [("x", "w " * 40)])
+
+
+def test_license_templates_of_any_length(spark):
+    rng = random.Random(6)
+    temps = [(f"t{n}", " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for n in (5, 24, 25, 48, 49, 170, 700)]
+    texts = ["", *(" ".join([*(f"v{k}" for k in range(rng.randint(0, 90))), t, *(f"u{k}" for k in range(50))]) for _, t in temps)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), temps).collect()}
+    assert all(name in got[k + 1] for k, (name, _) in enumerate(temps)) and got[0] == [""]
 
 
 def test_license_filters_lose_nothing(spark):
@@ -129,6 +135,15 @@ def test_packing(spark, odd, none):
     assert packing.packed(packing.tokenized_pieces(none, queries.TOKENIZER).drop("ids")).count() == 0
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["_row", "_own", "_salt", "_rank", "_before", "_at", "piece", "count", "sequence_id", "offset", "a.b", "_"]
+    df = spark.createDataFrame([(5, *[f"{n}{k}" for n in names]) for k in range(3)] * 2, ["length", *names]).withColumn("length", F.col("length").cast("long"))
+    got = packing.packed(df, 16)
+    assert got.columns == ["length", *[n for n in names if n not in ("sequence_id", "offset")], "sequence_id", "offset"]
+    assert sorted(r["_own"] for r in got.collect()) == ["_own0", "_own0", "_own1", "_own1", "_own2", "_own2"]
+    assert sorted((r["sequence_id"], r["offset"]) for r in got.collect()) == [(0, 0), (0, 5), (0, 10), (1, 0), (1, 5), (1, 10)]
+
+
 def test_word_encoder_equals_tokenizer():
     from public_tokenizers import path
 
@@ -213,9 +228,34 @@ def test_exact(odd, none, docs, spark):
     assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup(small, 64).collect()} == {(r["doc_id"], r["keep_id"]) for r in exact_dedup(small).collect()}
 
 
+def test_identities_do_not_depend_on_the_partitioning(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdef") * rng.randint(1, 9) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    for parts in (1, 7):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        seen.append(sorted((r["doc_id"], r["n_blocks"], r["identity"]) for r in exact_dedup(df.repartition(parts), 8).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
 # 7
 
 
+def test_texts_that_share_an_item_id(spark):
+    a = "what is the name of the tall green house here? it is the old town hall of stones"
+    b = "which of these seven rivers runs to the north? the one that has no bridge at all"
+    bench = spark.createDataFrame([(1, a), (1, b), (2, b), (2, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a), (2, b), (2, b), (3, a + " and " + b), (4, None)], "doc_id long, text string").withColumn("leaks", F.lit("old"))
+    for chars in (10, 1000):
+        got = decontam.find_leaks(docs, bench, max_index_chars=chars)
+        assert got.columns == docs.columns
+        assert sorted((r["doc_id"], [x["item_id"] for x in r["leaks"]]) for r in got.collect()) == [(1, [1]), (2, [1, 2]), (2, [1, 2]), (3, [1, 2]), (4, [])]
+    assert decontam.find_leaks(docs.limit(0), bench).count() == 0
+
+
 def test_wand_returns_all_above_threshold(docs, duck):
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
     for block in (2, 64):
@@ -452,6 +492,44 @@ def test_decoding_is_the_best_segmentation():
     assert total == pytest.approx(best(len(tokens))[0])
 
 
+def test_added_spans_on_rewritten_and_new_kinds(duck):
+    """Recall of what the patterns cannot see, on documents that the model was not trained on."""
+    texts = [t for t, in duck.execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY hash(doc_id)").fetchall() if re.search(r"@|[0-9]{4}", t)]
+    train, held = texts[: len(texts) // 2], texts[len(texts) // 2 :]
+    model = pii.SegmentModel({f"{k}|": -2.0 for k in pii.EVERY_KIND})
+    model.train(pii._examples(train) + [(t, {(k, t.index(s), t.index(s) + len(s))} if k else set()) for t, k, s in pii.SEEDS] * 8)
+    rng, hit, asked, wrong = random.Random(1), defaultdict(int), defaultdict(int), 0
+    for t in held:
+        secrets = {m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+        asked["secret"] += len(secrets)
+        hit["secret"] += len(secrets & {(a, b) for k, a, b, _ in pii.all_spans(t, model) if k == "secret"})
+        spans = pii.base_spans(t)
+        for lo, hi in pii._pieces(t):
+            gold = {(k, a - lo, b - lo) for k, a, b in spans if lo <= a and b <= hi}
+            again = gold and pii._rewritten(t[lo:hi], gold, rng)
+            if again:
+                base = set(pii.base_spans(again[0]))
+                added = {(k, a, b) for k, a, b, is_base in pii.all_spans(again[0], model) if not is_base and k != "secret"}
+                for k, a, b in again[1] - base:
+                    asked[k] += 1
+                    hit[k] += (k, a, b) in added
+                wrong += sum(not (k == "card" and pii.luhn(again[0][a:b])) for k, a, b in added - again[1])  # two numbers side by side are no base match, but cards
+    assert min(asked.values(), default=0) >= 2 and set(asked) == {"secret", "email", "phone", "card"}
+    assert all(hit[k] >= 0.9 * asked[k] for k in asked) and wrong <= 0.1 * sum(asked.values())
+
+
+def test_pii_of_odd_rows(odd, none):
+    model = pii.SegmentModel({"secret|": 1.0})
+    got = pii.find(odd.withColumn("pii", F.lit("old")), model)
+    assert got.columns == [*odd.columns, "pii"] and got.count() == odd.count()
+    assert [r["pii"] for r in got.filter("doc_id = 1").collect()] == [[]]
+    kept = pii.find(odd.withColumn("pii", F.lit("old")), model, into="spans")
+    assert {r["pii"] for r in kept.collect()} == {"old"} and pii.find(none, model).count() == 0
+    assert [(k, a, b) for k, a, b, _ in pii.all_spans("x ab_live_4eC39HqLyjWDarjtT1zdp7dc y", model)] == [("secret", 2, 34)]
+    for long in ("a1" * 100_000, "a" * 200_000 + "1", "1a_" * 60_000, "@" * 300_000, "x@" * 150_000):
+        pii.all_spans(long, pii.SegmentModel())
+
+
 def test_digest(spark, docs):
     got = {r["doc_id"]: r for r in queries.op10_pii(spark, SF).collect()}
     for i, text, _ in docs:
