@@ -246,13 +246,6 @@ def build_datasource_levels(spark, d):
     return s.join(F.broadcast(nxt), c("b2") > c("bottom"), "left").groupBy("src", "bottom").agg(F.coalesce(F.min("b2") - 1, F.lit(99)).alias("top"))
 
 
-@query("build_bottom_slab", f"SELECT col, row, img_id, least(xmax, (col + 1) * 256.0) - greatest(xmin, col * 256.0) AS width, least(ymax, (row + 1) * 256.0) - greatest(ymin, row * 256.0) AS height FROM ({_COVERED}) c1")
-def build_bottom_slab(spark, d):
-    """What each source image gives to each slab."""
-    side = lambda a, b, k: F.least(c(b), (c(k) + 1) * 256.0) - F.greatest(c(a), c(k) * 256.0)
-    return covered(spark, d).select("col", "row", "img_id", side("xmin", "xmax", "col").alias("width"), side("ymin", "ymax", "row").alias("height"))
-
-
 @query("build_above_slab", "SELECT 2 AS lvl, col // 4 AS col, row // 4 AS row, round(avg(z), 6) AS z FROM (SELECT col, row, z FROM f_dem WHERE mask <> 0) q GROUP BY 2, 3")
 def build_above_slab(spark, d):
     """Two levels up in one aggregation: sums and counts compose, so the level between need not be stored."""
@@ -406,10 +399,10 @@ ASC_HEADER = "printf('ncols        %d' || chr(10) || 'nrows        %d' || chr(10
 
 @query("sink_asc", f"SELECT -1::BIGINT AS row, {ASC_HEADER} AS line FROM f_dem UNION ALL SELECT row, string_agg(printf(' %.2f', CAST(CASE WHEN mask <> 0 THEN z ELSE -99999.0 END AS FLOAT)::DOUBLE), '' ORDER BY col) AS line FROM f_dem GROUP BY row")
 def sink_asc(spark, d):
-    """Lines of an ASCII grid: six of header (row -1), then one a row of samples, each a space and the 32-bit value with two decimals."""
+    """Lines of an ASCII grid: six of header (row -1), then one a row of samples, each a space and the 32-bit value with two decimals, ties to even."""
     value = F.when(c("mask") != 0, c("z")).otherwise(-99999.0).cast("float").cast("double")
     dem = view(spark, d, "f_dem")
-    cells = dem.select("row", F.struct("col", F.format_string(" %.2f", value).alias("s")).alias("x"))
+    cells = dem.select("row", F.struct("col", F.format_string(" %.2f", F.bround(value, 2)).alias("s")).alias("x"))
     lines = cells.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("row", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("line"))
     names = ["ncols        %d", "nrows        %d", "xllcorner    %.8f", "yllcorner    %.8f", "cellsize     %.8f", "NODATA_value %.2f"]
     size = [F.max("col") + 1, F.max("row") + 1]

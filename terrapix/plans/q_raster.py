@@ -133,14 +133,6 @@ def mosaic_mirrors(spark, d):
     return dem.select("col", "row", "z").unionByName(mirrors(dem, MIRROR).drop("side"))
 
 
-@query("mosaic_crop_crs", "SELECT img_id, CASE WHEN w < 4 OR h < 4 THEN 'empty' WHEN w < xmax - xmin OR h < ymax - ymin THEN 'canvas' ELSE 'whole' END AS plan, CASE WHEN w < 4 OR h < 4 THEN 0 ELSE CAST(round(w / res) + 4 AS BIGINT) END AS width FROM (SELECT *, least(xmax, 3500) - greatest(xmin, 500) AS w, least(ymax, 3500) - greatest(ymin, 500) AS h FROM f_img) q")
-def mosaic_crop_crs(spark, d):
-    q = view(spark, d, "f_img").withColumns({"w": F.least(c("xmax"), F.lit(3500.0)) - F.greatest(c("xmin"), F.lit(500.0)), "h": F.least(c("ymax"), F.lit(3500.0)) - F.greatest(c("ymin"), F.lit(500.0))})
-    small = (c("w") < 4) | (c("h") < 4)
-    cut = (c("w") < c("xmax") - c("xmin")) | (c("h") < c("ymax") - c("ymin"))
-    return q.select("img_id", F.when(small, "empty").when(cut, "canvas").otherwise("whole").alias("plan"), F.when(small, 0).otherwise((F.round(c("w") / c("res")) + 4).cast("long")).alias("width"))
-
-
 @query("mosaic_based_slab", "SELECT img_id, CASE WHEN xmin = 1000 AND ymin = 1000 AND xmax = 1400 AND ymax = 1400 THEN 'equal' WHEN xmin <= 1000 AND ymin <= 1000 AND xmax >= 1400 AND ymax >= 1400 THEN 'data_covers' WHEN xmin >= 1000 AND ymin >= 1000 AND xmax <= 1400 AND ymax <= 1400 THEN 'asked_covers' WHEN xmin > 1400 OR xmax < 1000 OR ymin > 1400 OR ymax < 1000 THEN 'apart' ELSE 'cross' END AS relation FROM f_img")
 def mosaic_based_slab(spark, d):
     from ..functions import grid
@@ -159,13 +151,6 @@ def mosaic_group_compatible(spark, d):
     return q.select("grp", "img_id", F.sum("brk").over(order).alias("pack"))
 
 
-@query("mosaic_merge_packs", "SELECT img_id, CASE WHEN res = 1.0 AND xmin - floor(xmin) < 0.001 THEN 'as_is' WHEN channels <= 2 THEN 'resample' ELSE 'reproject' END AS step FROM f_img")
-def mosaic_merge_packs(spark, d):
-    """How each pack reaches the output grid of resolution 1: as it is if in phase, resampled in its own system, else reprojected."""
-    fit = (c("res") == 1.0) & (c("xmin") - F.floor("xmin") < 0.001)
-    return view(spark, d, "f_img").select("img_id", F.when(fit, "as_is").when(c("channels") <= 2, "resample").otherwise("reproject").alias("step"))
-
-
 @query("set_distinct_slabs", "SELECT DISTINCT lvl, col, row FROM f_slab")
 def set_distinct_slabs(spark, d):
     return view(spark, d, "f_slab").select("lvl", "col", "row").dropDuplicates()
@@ -344,13 +329,6 @@ def win_reproject(spark, d):
     return resample.reproject_nearest(_source_places(spark, dem)[0], dem, ["z"])
 
 
-@query("win_level_resample", "SELECT img_id, CASE WHEN res = 1.0 AND fx < 0.00390625 AND fy < 0.00390625 THEN 'window' ELSE 'lanczos_3' END AS plan FROM (SELECT *, abs(xmin / 16 - round(xmin / 16)) AS fx, abs(ymax / 16 - round(ymax / 16)) AS fy FROM f_img) q")
-def win_level_resample(spark, d):
-    off = lambda v: F.abs(c(v) / 16 - F.round(c(v) / 16))
-    aligned = (c("res") == 1.0) & (off("xmin") < 1 / 256) & (off("ymax") < 1 / 256)
-    return view(spark, d, "f_img").select("img_id", F.when(aligned, "window").otherwise("lanczos_3").alias("plan"))
-
-
 def _kernel_sql(name):
     """The cells of the map by a kernel in two dimensions."""
     axis = lambda v, n: _weights_sql(name, f"SELECT col, row, 1.0 AS ratio, {v} AS x FROM m", f"(SELECT {n} FROM d)", "col, row")

@@ -125,24 +125,6 @@ def req_classify(spark, d):
 
 # ---- answers -------------------------------------------------------------------------------------------------------
 
-WINDOW = (30, 110, 2, 9)
-
-
-@query("q_getmap", "WITH w AS (SELECT col, row, z, mask FROM f_dem WHERE col BETWEEN 30 AND 109 AND row BETWEEN 2 AND 8), k AS (SELECT x AS col, y AS row FROM range(30, 110) t(x), range(2, 9) u(y)) SELECT k.row - 2 AS line, k.col - 30 AS x, coalesce(CASE WHEN mask <> 0 THEN z END, -99999.0) AS z FROM k LEFT JOIN w ON w.col = k.col AND w.row = k.row")
-def q_getmap(spark, d):
-    """A request in the raster's own system and phase: level, tile range, scan, mosaic on a nodata canvas, window."""
-    return getmap(spark, view(spark, d, "f_dem"), WINDOW)
-
-
-def getmap(spark, dem, window):
-    c0, c1, r0, r1 = window
-    asked = dem.filter(c("col").between(c0, c1 - 1) & c("row").between(r0, r1 - 1))
-    width = c1 - c0
-    canvas = spark.range(width * (r1 - r0)).select((c("id") % width + c0).alias("col"), (F.floor(c("id") / width) + r0).alias("row"))
-    data = asked.filter("mask <> 0").select("col", "row", "z")
-    return canvas.join(data, ["col", "row"], "left").select((c("row") - r0).alias("line"), (c("col") - c0).alias("x"), F.coalesce("z", F.lit(-99999.0)).alias("z"))
-
-
 @query("q_gettile", f"SELECT t.event_id, s.prio FROM ({TILE}) t JOIN f_slab s ON s.pyr = 'A' AND s.lvl = t.tm + 1 AND s.col = t.col // 4 AND s.row = t.row // 4 JOIN ({LIMITS}) l ON l.tm = t.tm WHERE t.col // 4 BETWEEN c0 AND c1 AND t.row // 4 BETWEEN r0 AND r1")
 def q_gettile(spark, d):
     """Validated against the limits, then an equality lookup on the slab inventory; tiles are not decoded."""
