@@ -284,17 +284,6 @@ def build_vector_top(spark, d):
     return p.groupBy(F.floor((c("lon") + 180) / 5.0).alias("col"), F.floor((85 - c("lat")) / 5.0).alias("row")).agg(F.count("*").alias("features"), F.round(F.sum("v"), 2).alias("total"))
 
 
-@query("build_sql_export", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_acctbal > 1000 AND c_nationkey < 10")
-def build_sql_export(spark, d):
-    return table(spark, d, "customer").where("c_acctbal > 1000 AND c_nationkey < 10").select("c_custkey", "c_nationkey", "c_acctbal")
-
-
-@query("build_copy", "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 1024")
-def build_copy(spark, d):
-    """Slabs no larger than a limit are left out of a copy; texts stand for slabs."""
-    return table(spark, d, "documents").where(F.octet_length("text") > 1024).select("doc_id")
-
-
 @query("mosaic_canvas_extent", "SELECT pyr, lvl, (max(col) - min(col) + 1) * (max(row) - min(row) + 1) AS tiles FROM f_slab GROUP BY pyr, lvl")
 def mosaic_canvas_extent(spark, d):
     s = agg_level_limits(spark, d)
@@ -363,17 +352,6 @@ def scan_harvest(spark, d):
     return i.select("img_id", "x", "y", F.format_string("BBOX=%.2f,%.2f,%.2f,%.2f", c("xmin") + c("x") * w / 4, c("ymin") + c("y") * h / 4, c("xmin") + (c("x") + 1) * w / 4, c("ymin") + (c("y") + 1) * h / 4).alias("params"))
 
 
-@query("scan_postgres", "SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = 7")
-def scan_postgres(spark, d):
-    return table(spark, d, "customer").filter("c_nationkey = 7").select("c_custkey", "c_acctbal")
-
-
-@query("scan_pg_catalog")
-def scan_pg_catalog(spark, d):
-    rows = [(t, f.name, f.dataType.simpleString()) for t in ("orders", "customer", "part", "nation") for f in table(spark, d, t).schema]
-    return spark.createDataFrame(rows, "tbl string, attribute string, type string")
-
-
 # ---- sinks ---------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,13 @@ def write_files(df: DataFrame, root: str) -> None:
     df.select("path", "data").foreachPartition(run)
 
 
+def copy_files(spark, root: str, to: str, limit: int = 0) -> None:
+    """Copies the objects below root that are larger than limit, from the executors; a link is followed, and what it names copied under the link's own name."""
+    base = re.sub(r"^[a-z0-9]+:", "", root).strip("/")
+    inner = F.regexp_replace("path", f"^(?:[a-z0-9]+:)?/*{re.escape(base)}/+", "")
+    write_files(read_slab_files(spark, root).filter(F.length("data") > limit).select(inner.alias("path"), "data"), to)
+
+
 def delete_files(df: DataFrame, root: str) -> None:
     """Deletes files (path) below root, from the executors; a file that is gone already is passed over."""
 
