@@ -278,12 +278,6 @@ def build_head(spark, d):
     return pyramid.all_ancestors(s, 7).filter("lvl > 3")
 
 
-@query("build_vector_top", "SELECT CAST(floor((lon + 180) / 5.0) AS BIGINT) AS col, CAST(floor((85 - lat) / 5.0) AS BIGINT) AS row, count(*) AS features, round(sum(v), 2) AS total FROM f_point WHERE v > 0 GROUP BY 1, 2")
-def build_vector_top(spark, d):
-    p = view(spark, d, "f_point").filter("v > 0")
-    return p.groupBy(F.floor((c("lon") + 180) / 5.0).alias("col"), F.floor((85 - c("lat")) / 5.0).alias("row")).agg(F.count("*").alias("features"), F.round(F.sum("v"), 2).alias("total"))
-
-
 @query("mosaic_canvas_extent", "SELECT pyr, lvl, (max(col) - min(col) + 1) * (max(row) - min(row) + 1) AS tiles FROM f_slab GROUP BY pyr, lvl")
 def mosaic_canvas_extent(spark, d):
     s = agg_level_limits(spark, d)
@@ -322,12 +316,6 @@ def scan_indices_list(spark, d):
     return lines.select(x).select("x.*").dropDuplicates()
 
 
-@query("scan_slab_tile", "SELECT col, row, (row % 4) * 4 + col % 4 AS n FROM f_slab WHERE pyr = 'A' AND lvl = 3 AND col BETWEEN 10 AND 13 AND row BETWEEN 20 AND 23")
-def scan_slab_tile(spark, d):
-    t = view(spark, d, "f_slab").filter("pyr = 'A' AND lvl = 3 AND col BETWEEN 10 AND 13 AND row BETWEEN 20 AND 23")
-    return t.select("col", "row", ((c("row") % 4) * 4 + c("col") % 4).alias("n"))
-
-
 @query("scan_tile_crop", "SELECT x AS col, y AS row, coalesce(z, -99999.0) AS z FROM range(145, 155) t(x), range(0, 12) u(y) LEFT JOIN f_dem ON col = x AND row = y WHERE x >= 147 AND y < 11")
 def scan_tile_crop(spark, d):
     asked = spark.range(8 * 11).select((c("id") % 8 + 147).alias("col"), F.floor(c("id") / 8).alias("row"))
@@ -363,15 +351,6 @@ def sink_jpeg_crop(spark, d):
     return view(spark, d, "f_rgb").select("col", "row", F.when(white, 255).otherwise(c("r")).alias("r"))
 
 
-@query("sink_pbf_slab", "SELECT k.sc, k.sr, k.n, coalesce(s.lvl, 0) AS size FROM (SELECT x AS sc, y AS sr, i AS n FROM range(0, 8) t(x), range(0, 8) u(y), range(0, 16) v(i)) k LEFT JOIN (SELECT col, row, max(lvl) AS lvl FROM f_slab WHERE pyr = 'R' AND lvl < 3 GROUP BY col, row) s ON s.col = k.sc * 4 + k.n % 4 AND s.row = k.sr * 4 + k.n // 4")
-def sink_pbf_slab(spark, d):
-    """Sizes of a slab's tiles in order; a missing tile has size 0. The level stands for a tile's size."""
-    k = spark.range(1024).select((c("id") % 8).alias("sc"), (F.floor(c("id") / 8) % 8).alias("sr"), F.floor(c("id") / 64).alias("n"))
-    k = k.select("*", (c("sc") * 4 + c("n") % 4).alias("col"), (c("sr") * 4 + F.floor(c("n") / 4)).alias("row"))
-    s = view(spark, d, "f_slab").filter("pyr = 'R' AND lvl < 3").groupBy("col", "row").agg(F.max("lvl").alias("size"))
-    return k.join(s, ["col", "row"], "left").select("sc", "sr", "n", F.coalesce("size", F.lit(0)).alias("size"))
-
-
 ASC_HEADER = "printf('ncols        %d' || chr(10) || 'nrows        %d' || chr(10) || 'xllcorner    %.8f' || chr(10) || 'yllcorner    %.8f' || chr(10) || 'cellsize     %.8f' || chr(10) || 'NODATA_value %.2f', max(col) + 1, max(row) + 1, 0.0, 0.0, 1.0, -99999.0)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..operators.shared import Scratch
 from ..sources import slabs
-from ..sources.tables import view
+from ..sources.tables import table, view
 from ..streaming import requests as streams
 from .registry import query
 
@@ -39,10 +39,15 @@ def scan_decode_tile(spark, d):
     return _through(spark, d, F.element_at(F.array(*map(F.lit, ("raw", "zip", "pkb", "lzw", "png"))), (c("tc") % 5 + 1).cast("int")))
 
 
-@query("sink_slab_codecs", "SELECT col // 25 AS tc, row // 10 AS tr, count(*) * 4 AS raw_size FROM f_rgb GROUP BY 1, 2")
+NAMES = ("raw", "zip", "pkb", "lzw", "png")
+
+
+@query("sink_slab_codecs", "SELECT codec, col // 25 AS tc, row // 10 AS tr, count(*) * 4 AS raw_size, CAST(sum(r + g + b + a) AS BIGINT) AS total FROM f_rgb, (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") k(codec) GROUP BY 1, 2, 3")
 def sink_slab_codecs(spark, d):
-    raw = slabs.encode_tiles(_tiles(spark, d), TW, TH, 4, "uint8", "raw")
-    return raw.select("tc", "tr", F.octet_length("data").cast("long").alias("raw_size"))
+    """Every tile by every codec: the size before, and the samples' sum after decoding."""
+    each = _tiles(spark, d).select("*", F.explode(F.array(*map(F.lit, NAMES))).alias("codec"))
+    back = slabs.decode_tiles(slabs.encode_tiles(each, TW, TH, 4, "uint8", c("codec")), TW, TH, 4, "uint8", c("codec"))
+    return back.select("codec", "tc", "tr", F.size("samples").cast("long").alias("raw_size"), F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x).cast("long").alias("total"))
 
 
 def _slabs(spark, d, codec="lzw"):
@@ -64,6 +69,30 @@ def scan_slab_index(spark, d):
     return t.select("tc", "tr", c("n").cast("long").alias("n"), (c("at") % 16).alias("rest"), "size")
 
 
+@query("scan_slab_tile", "SELECT event_id, r, g, b, a FROM (SELECT event_id, user_id % 4 AS tc, event_id % n AS tr FROM events, (SELECT max(row) // 10 + 1 AS n FROM f_rgb) s) e JOIN f_rgb p ON p.col = tc * 25 + 3 AND p.row = tr * 10 + 2")
+def scan_slab_tile(spark, d):
+    """Single tiles asked for: found in their slab by its index, and only these decoded; the sample at (3, 2) of each."""
+    n = view(spark, d, "f_rgb").agg(F.floor(F.max("row") / 10) + 1).first()[0] or 1
+    asked = table(spark, d, "events").select("event_id", (c("user_id") % 4).alias("tc"), (c("event_id") % n).alias("tr"))
+    tiles = slabs.unpack_slabs(_slabs(spark, d, "zip"), TPW, TPH).join(asked.select("tc", "tr").distinct(), ["tc", "tr"], "left_semi")
+    samples = slabs.decode_tiles(tiles, TW, TH, 4, "uint8", "zip")
+    pixel = samples.select("tc", "tr", *[F.get("samples", F.lit((2 * TW + 3) * 4 + k)).cast("int").alias(x) for k, x in enumerate(BANDS)])
+    return asked.join(pixel, ["tc", "tr"]).select("event_id", *BANDS)
+
+
+@query("check_work", "SELECT col // 25 AS tc, row // 10 AS tr, 25 AS width, 10 AS height, 4 AS channels, count(*) * 4 AS samples FROM f_rgb GROUP BY 1, 2")
+def check_work(spark, d):
+    """Every work image opened and read to its end."""
+
+    @F.pandas_udf("binary")
+    def coded(samples: pd.Series) -> pd.Series:
+        return pd.Series([codecs.tiff_encode(np.asarray(s).astype(np.uint8).reshape(TH, TW, 4), "lzw") for s in samples], dtype="object")
+
+    files = _tiles(spark, d).select(F.concat_ws("_", c("tc").cast("string"), c("tr").cast("string")).alias("path"), coded("samples").alias("data"))
+    p = F.split("path", "_")
+    return slabs.decode_files(files).select(F.get(p, 0).cast("long").alias("tc"), F.get(p, 1).cast("long").alias("tr"), "width", "height", "channels", F.size("samples").cast("long").alias("samples"))
+
+
 @query("scan_slab_image", CELLS)
 def scan_slab(spark, d):
     """Whole slabs read as tiled images."""

@@ -522,8 +522,3 @@ def nodata_tool(spark, d):
     """Identify, move data off the reserved value, then recolour nodata and give the mask."""
     hit = F.expr(TARGET)
     return view(spark, d, "f_rgb").select("col", "row", F.when(hit, 255).when(c("r") == 255, 254).otherwise(c("r")).alias("r"), F.when(hit, 0).otherwise(255).alias("mask"))
-
-
-@query("check_work", "SELECT count(*) AS cells, count(z) AS samples FROM f_dem")
-def check_work(spark, d):
-    return view(spark, d, "f_dem").agg(F.count("*").alias("cells"), F.count("z").alias("samples"))

@@ -155,11 +155,19 @@ def q_gfi_external(spark, d):
     return view(spark, d, "f_point").select("pt_id", F.format_string("http://host/wms?REQUEST=GetFeatureInfo&BBOX=%.6f,%.6f,%.6f,%.6f&I=%d", *p, p[0] + 1, p[1] + 1, c("pt_id") % 256).alias("url"))
 
 
-@query("sink_gfi", "SELECT event_id, 'r: ' || r || chr(10) || 'g: ' || g AS plain, '{\"Data\":[\"' || r || '\",\"' || g || '\",\"' || b || '\"]}' AS js FROM (SELECT r, g, b, col + 100 * row AS event_id FROM f_rgb) q")
+# The four formats of feature info.
+GFI_SQL = "SELECT event_id, r || ' ' || g || ' ' || b AS plain, '<html><body><b>FeatureInfo :</b><br><ul><ul>' || r || '</ul><ul>' || g || '</ul><ul>' || b || '</ul></ul></body></html>' AS html, '<FeatureInfo><value>' || r || '</value><value>' || g || '</value><value>' || b || '</value></FeatureInfo>' AS xml, '{\"featureInfo\":[' || r || ', ' || g || ', ' || b || ']}' AS js FROM (SELECT r, g, b, col + 100 * row AS event_id FROM f_rgb) q"
+
+
+@query("sink_gfi", GFI_SQL)
 def sink_gfi(spark, d):
-    v = view(spark, d, "f_rgb").withColumn("event_id", c("col") + 100 * c("row"))
-    s = lambda n: c(n).cast("string")
-    return v.select("event_id", F.concat(F.lit("r: "), s("r"), F.lit("\ng: "), s("g")).alias("plain"), F.concat(F.lit('{"Data":["'), F.concat_ws('","', s("r"), s("g"), s("b")), F.lit('"]}')).alias("js"))
+    """The values of a pixel as text, HTML, XML and JSON."""
+    v = view(spark, d, "f_rgb").select((c("col") + 100 * c("row")).alias("event_id"), F.array(*[c(n).cast("string") for n in "rgb"]).alias("vs"))
+    wrapped = lambda a, b: F.array_join(F.transform("vs", lambda x: F.concat(F.lit(a), x, F.lit(b))), "")
+    html = F.concat(F.lit("<html><body><b>FeatureInfo :</b><br><ul>"), wrapped("<ul>", "</ul>"), F.lit("</ul></body></html>"))
+    xml = F.concat(F.lit("<FeatureInfo>"), wrapped("<value>", "</value>"), F.lit("</FeatureInfo>"))
+    js = F.concat(F.lit('{"featureInfo":['), F.array_join("vs", ", "), F.lit("]}"))
+    return v.select("event_id", F.array_join("vs", " ").alias("plain"), html.alias("html"), xml.alias("xml"), js.alias("js"))
 
 
 @query("sink_exception", f"SELECT event_id, '<ServiceExceptionReport xmlns=\"http://www.opengis.net/ogc\"><ServiceException code=\"' || error || '\">event ' || event_id || '</ServiceException></ServiceExceptionReport>' AS body FROM (SELECT event_id, CASE {MAP_CASES} END AS error FROM ({KVP}) q) e WHERE error IS NOT NULL")
@@ -168,19 +176,24 @@ def sink_exception(spark, d):
     return bad.select("event_id", requests.service_exception(c("error"), F.concat(F.lit("event "), c("event_id").cast("string"))).alias("body"))
 
 
-LAYER = "SELECT img_id, xmin / 40 - 50 AS xmin, ymin / 40 - 50 AS ymin, xmax / 40 - 50 AS xmax, ymax / 40 - 50 AS ymax FROM f_img"
-CRS = [("EPSG:4326", -180.0, -90.0, 180.0, 90.0), ("IGNF:A", -20.0, -20.0, 30.0, 20.0), ("IGNF:B", 40.0, -50.0, 90.0, 10.0)]
+LAYER = "SELECT img_id, res, xmin / 40 - 50 AS xmin, ymin / 40 - 50 AS ymin, xmax / 40 - 50 AS xmax, ymax / 40 - 50 AS ymax FROM f_img"
+CRS = [("EPSG:4326", -180.0, -90.0, 180.0, 90.0), ("TEST:A", -20.0, -20.0, 30.0, 20.0), ("TEST:B", 40.0, -50.0, 90.0, 10.0)]
 CRS_SQL = ", ".join(f"('{n}', {a}, {b}, {x}, {y})" for n, a, b, x, y in CRS)
 
 
-@query("q_wms_capabilities", f"SELECT img_id, code, greatest(xmin, a) AS xmin, greatest(ymin, b) AS ymin, least(xmax, x) AS xmax, least(ymax, y) AS ymax FROM ({LAYER}) l, (VALUES {CRS_SQL}) k(code, a, b, x, y) WHERE xmin <= x AND xmax >= a AND ymin <= y AND ymax >= b")
+CAPABILITIES_SQL = f"SELECT img_id, code, printf('<Layer><Name>%d</Name><BoundingBox CRS=\"%s\" minx=\"%.4f\" miny=\"%.4f\" maxx=\"%.4f\" maxy=\"%.4f\"/><MinScaleDenominator>%.4f</MinScaleDenominator><MaxScaleDenominator>%.4f</MaxScaleDenominator></Layer>', img_id, code, greatest(xmin, a), greatest(ymin, b), least(xmax, x), least(ymax, y), res / 0.00028::DOUBLE, res * 16 / 0.00028::DOUBLE) AS body FROM ({LAYER}) l, (VALUES {CRS_SQL}) k(code, a, b, x, y) WHERE xmin <= x AND xmax >= a AND ymin <= y AND ymax >= b"
+
+
+@query("q_wms_capabilities", CAPABILITIES_SQL)
 def q_wms_capabilities(spark, d):
-    """Each layer's box in each coordinate system whose area it meets, cropped to it; the systems are a small table."""
+    """Each layer's element in each coordinate system whose area its box meets: the box cropped to the area, and the scales of its finest and coarsest level."""
     side = lambda n: (c(n) / 40 - 50).alias(n)
-    l = view(spark, d, "f_img").select("img_id", *[side(n) for n in ("xmin", "ymin", "xmax", "ymax")])  # noqa: E741
-    k = spark.createDataFrame(CRS, "code string, a double, b double, x double, y double")
-    hit = l.join(F.broadcast(k), F.lit(True)).filter("xmin <= x AND xmax >= a AND ymin <= y AND ymax >= b")
-    return hit.select("img_id", "code", F.greatest("xmin", "a").alias("xmin"), F.greatest("ymin", "b").alias("ymin"), F.least("xmax", "x").alias("xmax"), F.least("ymax", "y").alias("ymax"))
+    systems = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("code", "a", "b", "x", "y"), k, strict=True)]) for k in CRS])
+    each = view(spark, d, "f_img").select("img_id", "res", *[side(n) for n in ("xmin", "ymin", "xmax", "ymax")], F.explode(systems).alias("k")).select("*", "k.*")
+    hit = each.filter("xmin <= x AND xmax >= a AND ymin <= y AND ymax >= b")
+    form = '<Layer><Name>%d</Name><BoundingBox CRS="%s" minx="%.4f" miny="%.4f" maxx="%.4f" maxy="%.4f"/><MinScaleDenominator>%.4f</MinScaleDenominator><MaxScaleDenominator>%.4f</MaxScaleDenominator></Layer>'
+    box = [F.bround(v, 4) for v in (F.greatest("xmin", "a"), F.greatest("ymin", "b"), F.least("xmax", "x"), F.least("ymax", "y"))]
+    return hit.select("img_id", "code", F.format_string(form, "img_id", "code", *box, F.bround(c("res") / 0.00028, 4), F.bround(c("res") * 16 / 0.00028, 4)).alias("body"))
 
 
 @query("q_wmts_capabilities", "SELECT pyr, id, min(col) AS min_col, max(col) AS max_col, min(row) AS min_row, max(row) AS max_row, max(res / 0.00028) AS scale FROM f_slab s JOIN f_tm t ON s.lvl - 1 = t.ord GROUP BY pyr, id")
