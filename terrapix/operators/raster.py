@@ -43,17 +43,24 @@ def decimate(cells: DataFrame, ratio: int, offset: int, bands: list[str], nodata
 NEIGHBOURS = dict(zip("abcdefghi", [(x, y) for y in (-1, 0, 1) for x in (-1, 0, 1)], strict=True))
 
 
-def neighbours(cells: DataFrame, value: str = "z") -> DataFrame:
+HALO_BLOCK = 64
+
+
+def neighbours(cells: DataFrame, value: str = "z", block: int = HALO_BLOCK) -> DataFrame:
     """The 3 x 3 neighbourhood a..i (row above first, null outside) of every cell of a raster.
 
-    Two windows, along rows and then along columns: each partition is one line of the raster, and a line's sort is the only
-    state, so the plan holds at any raster size. The grid must be dense; (col, row) is unique.
+    Cells are dealt once, in blocks with a border of one cell from the blocks around; two windows, along rows and then along
+    columns, run within the blocks without another shuffle. A line of a block is the only state, so the plan holds at any
+    raster size. The grid must be dense; (col, row) is unique.
     """
-    along = Window.partitionBy("row").orderBy("col")
-    down = Window.partitionBy("col").orderBy("row")
-    x = cells.select("col", "row", F.col(value).alias("e")).select("*", F.lag("e").over(along).alias("d"), F.lead("e").over(along).alias("f"))
+    near = lambda v: F.explode(F.sequence(F.floor((F.col(v) - 1) / block), F.floor((F.col(v) + 1) / block)))
+    held = cells.select("col", "row", F.col(value).alias("e")).select("*", near("col").alias("_x")).select("*", near("row").alias("_y"))
+    along = Window.partitionBy("_x", "_y", "row").orderBy("col")
+    down = Window.partitionBy("_x", "_y", "col").orderBy("row")
+    x = held.repartition("_x", "_y").select("*", F.lag("e").over(along).alias("d"), F.lead("e").over(along).alias("f"))
     line = lambda f, names: [f(s).over(down).alias(n) for s, n in zip("def", names, strict=True)]
-    return x.select("*", *line(F.lag, "abc"), *line(F.lead, "ghi"))
+    own = (F.col("_x") == F.floor(F.col("col") / block)) & (F.col("_y") == F.floor(F.col("row") / block))
+    return x.select("*", *line(F.lag, "abc"), *line(F.lead, "ghi")).filter(own).drop("_x", "_y")
 
 
 def stencil(cells: DataFrame, value: str = "z", nodata: str = "mask = 0") -> DataFrame:
@@ -158,22 +165,30 @@ def _block_labels(pdf: pd.DataFrame) -> pd.DataFrame:
 def flood_from_edges(cells: DataFrame, target: Column, scratch, block: int = BLOCK) -> DataFrame:
     """(col, row) of the target cells reachable from the raster's border over 4-neighbours that are targets.
 
-    Components are found within blocks of block x block cells first, which bounds what a task holds; only cells on the sides of
-    blocks are then joined with their neighbours, and the components of that small graph are found by rounds of joins.
+    Components are found within blocks of at most block x block cells first, which bounds what a task holds; in a raster
+    narrower than a block, blocks are as much longer. Only cells on the sides of blocks are then joined with their
+    neighbours, and the components of that small graph are found by rounds of joins. A raster of one block needs none.
     """
     c, r = F.col("col"), F.col("row")
-    hit = cells.filter(target).select("col", "row", F.floor(c / block).alias("bc"), F.floor(r / block).alias("br"))
+    c0, c1, r0, r1 = cells.agg(F.min("col"), F.max("col"), F.min("row"), F.max("row")).first()
+    if c0 is None:
+        return cells.select("col", "row")
+    wide = min(block, c1 - c0 + 1)
+    sides = {"col": (c0, wide), "row": (r0, block * block // wide)}
+    hit = cells.filter(target).select("col", "row", F.floor((c - c0) / wide).alias("bc"), F.floor((r - r0) / sides["row"][1]).alias("br"))
     own = scratch.write(hit.groupBy("bc", "br").applyInPandas(lambda pdf: _block_labels(pdf[["col", "row"]]), "col long, row long, label long"))
+    whole = own.select("col", "row", "label", F.col("label").alias("node"))
     links = None
     for v, w in (("col", "row"), ("row", "col")):
-        near = own.filter(F.col(v) % block == block - 1).select((F.col(v) + 1).alias(v), w, F.col("label").alias("a"))
-        far = own.filter(F.col(v) % block == 0).select(v, w, F.col("label").alias("b"))
+        start, size = sides[v]
+        if (c1 - c0 if v == "col" else r1 - r0) < size:
+            continue
+        near = own.filter((F.col(v) - start) % size == size - 1).select((F.col(v) + 1).alias(v), w, F.col("label").alias("a"))
+        far = own.filter((F.col(v) - start) % size == 0).select(v, w, F.col("label").alias("b"))
         pairs = near.join(far, [v, w]).select("a", "b")
         links = pairs if links is None else links.union(pairs)
-    links = scratch.write(links.distinct())
-    whole = own.select("col", "row", "label", F.col("label").alias("node"))
-    if not links.isEmpty():
+    links = scratch.write(links.distinct()) if links is not None else None
+    if links is not None and not links.isEmpty():
         whole = own.withColumnRenamed("label", "node").join(components(links, scratch), "node", "left").select("col", "row", "node", F.coalesce("label", "node").alias("label"))
-    size = cells.agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
-    edge = whole.join(F.broadcast(size), F.lit(True)).filter("col = c0 OR col = c1 OR row = r0 OR row = r1").select("label").distinct()
+    edge = whole.filter(c.isin(c0, c1) | r.isin(r0, r1)).select("label").distinct()
     return whole.join(edge, "label", "left_semi").select("col", "row")

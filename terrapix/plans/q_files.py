@@ -88,11 +88,20 @@ def _layer_files(spark, d, name):
     return _text(n, body, folder(spark, name))
 
 
-for _n in ("scan_layer_xml", "build_layer"):
-
-    @query(_n, LAYERS)
-    def _layer_round_trip(spark, d, n=_n):
-        return descriptors.layers(spark, _layer_files(spark, d, n)).select("title", "opaque", "resampling")
+@query("scan_layer_xml", LAYERS)
+def scan_layer_xml(spark, d):
+    return descriptors.layers(spark, _layer_files(spark, d, "layers")).select("title", "opaque", "resampling")
+
+
+@query("build_layer", "SELECT pyr AS title, min(res) AS min_res, max(res) AS max_res, count(DISTINCT lvl) AS levels, 'lanczos_2' AS resampling FROM f_slab s JOIN f_tm t ON s.lvl - 1 = t.ord GROUP BY pyr")
+def build_layer(spark, d):
+    """A layer's descriptor from a pyramid's levels: its title, and the resolutions of its finest and coarsest level; written and read back."""
+    slab, tm = view(spark, d, "f_slab"), view(spark, d, "f_tm")
+    held = slab.select("pyr", "lvl").distinct().join(F.broadcast(tm), c("lvl") - 1 == c("ord"))
+    layer = held.groupBy("pyr").agg(F.min("res").alias("least"), F.max("res").alias("most"), F.count("*").alias("levels"))
+    body = F.concat(F.lit("<layer>"), _tag("title", c("pyr")), _tag("abstract", c("levels")), _tag("minRes", c("least")), _tag("maxRes", c("most")), F.lit("</layer>"))
+    read = descriptors.layers(spark, _text(layer, body, folder(spark, "layer")))
+    return read.select("title", c("minRes").alias("min_res"), c("maxRes").alias("max_res"), c("abstract").cast("long").alias("levels"), "resampling")
 
 
 @query("scan_server_xml", "SELECT 4 AS threads, 'error' AS level")

@@ -156,9 +156,28 @@ def set_distinct_slabs(spark, d):
     return view(spark, d, "f_slab").select("lvl", "col", "row").dropDuplicates()
 
 
-for _n, _keys in (("set_union_geom", ["channels"]), ("set_bbox_union", ["res"])):
-    _k = _keys[0]
-    query(_n, f"SELECT {_k}, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM f_img GROUP BY {_k}")(lambda spark, d, k=_k: view(spark, d, "f_img").groupBy(k).agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax")))
+UNION_SQL = """WITH s AS (SELECT channels, unnest(range(CAST(xmin AS BIGINT), CAST(xmax AS BIGINT))) AS x, ymin, ymax FROM f_img),
+m AS (SELECT *, CASE WHEN ymin <= max(ymax) OVER (PARTITION BY channels, x ORDER BY ymin, ymax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY channels, x ORDER BY ymin, ymax ROWS UNBOUNDED PRECEDING) AS part FROM m),
+u AS (SELECT channels, x, part, min(ymin) AS y0, max(ymax) AS y1 FROM g GROUP BY 1, 2, 3)
+SELECT channels, sum(y1 - y0) AS area, count(*) AS strips, min(x) AS xmin, min(y0) AS ymin, max(x) + 1 AS xmax, max(y1) AS ymax FROM u GROUP BY channels"""
+
+
+@query("set_union_geom", UNION_SQL)
+def set_union_geom(spark, d):
+    """The union of footprints by number of channels, as strips one unit wide: in each, intervals that meet are one; told by area, strips and extent."""
+    strips = view(spark, d, "f_img").filter("xmax > xmin").select("channels", F.explode(F.sequence(c("xmin").cast("long"), c("xmax").cast("long") - 1)).alias("x"), "ymin", "ymax")
+    order = Window.partitionBy("channels", "x").orderBy("ymin", "ymax")
+    before = F.max("ymax").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = strips.withColumn("new", F.when(c("ymin") <= before, 0).otherwise(1))
+    parts = marked.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    union = parts.groupBy("channels", "x", "part").agg(F.min("ymin").alias("y0"), F.max("ymax").alias("y1"))
+    return union.groupBy("channels").agg(F.sum(c("y1") - c("y0")).alias("area"), F.count("*").alias("strips"), F.min("x").alias("xmin"), F.min("y0").alias("ymin"), (F.max("x") + 1).alias("xmax"), F.max("y1").alias("ymax"))
+
+
+@query("set_bbox_union", "SELECT res, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM f_img GROUP BY res")
+def set_bbox_union(spark, d):
+    return view(spark, d, "f_img").groupBy("res").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
 
 
 @query("set_intersect_limits", "SELECT pyr, lvl, greatest(min(col), 3) AS min_col, least(max(col), 50) AS max_col, greatest(min(row), 5) AS min_row, least(max(row), 40) AS max_row FROM f_slab GROUP BY pyr, lvl")
