@@ -85,14 +85,65 @@ def limits(spark, d):
 
 LIMITS = "SELECT CAST(lvl - 1 AS BIGINT) AS tm, min(col) AS c0, max(col) AS c1, min(row) AS r0, max(row) AS r1 FROM f_slab WHERE pyr = 'A' GROUP BY 1"
 
-for _n, _codes in (("req_validate_gettile_wmts", ("LayerNotDefined", "InvalidTileMatrix", "TileOutOfRange", "InvalidFormat")), ("req_validate_gettile_tms", ("404 layer", "404 level", "404 tile", "404 format"))):
-
-    def _validated(spark, d, codes=_codes):
-        t = tiles(spark, d).join(F.broadcast(limits(spark, d)), "tm", "left")
-        checks = [(c("layer") < 6, codes[0]), (c("tm") < 5, codes[1]), (c("col").between(c("c0"), c("c1")) & c("row").between(c("r0"), c("r1")), codes[2]), (c("fmt") != 2, codes[3])]
-        return t.select("event_id", requests.first_failure(*checks).alias("error"))
-
-    query(_n, f"SELECT event_id, CASE WHEN layer >= 6 THEN '{_codes[0]}' WHEN t.tm >= 5 THEN '{_codes[1]}' WHEN c0 IS NULL OR NOT (col BETWEEN c0 AND c1 AND row BETWEEN r0 AND r1) THEN '{_codes[2]}' WHEN fmt = 2 THEN '{_codes[3]}' END AS error FROM ({TILE}) t LEFT JOIN ({LIMITS}) l ON l.tm = t.tm")(_validated)
+# The parameters of tile requests, in the order in which they are checked; every twelfth request lacks the first, and so on.
+WMTS = {
+    "version": "CASE WHEN user_id % 13 = 0 THEN '9' ELSE '1.0.0' END",
+    "layer": "'lay' || (user_id % 7)",
+    "tilematrixset": "CASE event_id % 17 WHEN 0 THEN 'NONE' WHEN 1 THEN 'OTHER' ELSE 'GRID' END",
+    "tilematrix": "CAST(event_id % 6 AS VARCHAR(9))",
+    "tilerow": "CASE WHEN event_id % 19 = 0 THEN 'a1' ELSE CAST(user_id % 70 AS VARCHAR(9)) END",
+    "tilecol": "CASE WHEN event_id % 23 = 0 THEN 'x' ELSE CAST(event_id % 70 AS VARCHAR(9)) END",
+    "format": "CASE WHEN event_id % 3 = 2 THEN 'image/jpeg' ELSE 'image/png' END",
+    "style": "CASE WHEN user_id % 11 = 0 THEN 'odd' ELSE 'normal' END",
+}
+_bad = {"version": "user_id % 13 = 0", "layer": "user_id % 7 = 6", "tilematrixset": "event_id % 17 < 2", "tilematrix": "event_id % 6 = 5", "tilerow": "event_id % 19 = 0", "tilecol": "event_id % 23 = 0", "format": "event_id % 3 = 2", "style": "user_id % 11 = 0"}
+_said = {"tilematrixset": "CASE WHEN event_id % 17 = 1 THEN 'Missing' ELSE 'Invalid' END || 'ParameterValue tilematrixset'"}
+_WMTS_CASES = " ".join(f"WHEN event_id % 12 = {k} THEN 'MissingParameterValue {n}' WHEN {_bad[n]} THEN {_said.get(n, repr(f'InvalidParameterValue {n}'))}" for k, n in enumerate(WMTS))
+WMTS_SQL = f"SELECT event_id, CASE {_WMTS_CASES} WHEN c0 IS NULL OR NOT (event_id % 70 BETWEEN c0 AND c1 AND user_id % 70 BETWEEN r0 AND r1) THEN 'TileOutOfRange' END AS error FROM events e LEFT JOIN ({LIMITS}) l ON l.tm = e.event_id % 6"
+
+
+@query("req_validate_gettile_wmts", WMTS_SQL)
+def req_validate_gettile_wmts(spark, d):
+    """Each parameter present, known and of its kind, in order; a grid that is not the layer's counts as a missing one; then the tile within the level's limits."""
+    parts = [F.when(c("event_id") % 12 != k, F.concat(F.lit(f"{n.upper()}="), F.expr(v))) for k, (n, v) in enumerate(WMTS.items())]
+    asked = table(spark, d, "events").select("event_id", F.concat_ws("&", F.lit("SERVICE=WMTS&REQUEST=GetTile"), *parts).alias("text"))
+    e = asked.select("event_id", requests.parse_kvp(c("text")).alias("kv")).select("event_id", *[requests.param(c("kv"), n).alias(n) for n in WMTS])
+    known = {
+        "version": c("version").contains("1.0.0"),
+        "layer": c("layer").isin(*[f"lay{k}" for k in range(6)]),
+        "tilematrixset": c("tilematrixset").isin("GRID", "OTHER"),
+        "tilematrix": c("tilematrix").isin(*map(str, range(5))),
+        "tilerow": c("tilerow").rlike(r"^\s*[+-]?[0-9]"),
+        "tilecol": c("tilecol").rlike(r"^\s*[+-]?[0-9]"),
+        "format": c("format") == "image/png",
+        "style": c("style") == "normal",
+    }
+    checks = []
+    for n, ok in known.items():
+        checks += [(F.coalesce(c(n), F.lit("")) != "", f"MissingParameterValue {n}"), (ok, f"InvalidParameterValue {n}")]
+        if n == "tilematrixset":
+            checks.append((c(n) == "GRID", f"MissingParameterValue {n}"))
+    number = lambda n: F.regexp_extract(n, r"^\s*([+-]?[0-9]+)", 1).try_cast("long")
+    t = e.withColumns({"tm": c("tilematrix").try_cast("long"), "col": number("tilecol"), "row": number("tilerow")}).join(F.broadcast(limits(spark, d)), "tm", "left")
+    checks.append((c("col").between(c("c0"), c("c1")) & c("row").between(c("r0"), c("r1")), "TileOutOfRange"))
+    return t.select("event_id", requests.first_failure(*checks).alias("error"))
+
+
+TMS_SQL = f"SELECT event_id, CASE WHEN layer >= 6 THEN '404 layer' WHEN t.tm >= 5 THEN '404 level' WHEN event_id % 23 = 0 OR event_id % 19 = 0 THEN '404 number' WHEN fmt = 2 THEN '404 format' WHEN c0 IS NULL OR NOT (col BETWEEN c0 AND c1 AND row BETWEEN r0 AND r1) THEN '404 tile' END AS error FROM ({TILE}) t LEFT JOIN ({LIMITS}) l ON l.tm = t.tm"
+
+
+@query("req_validate_gettile_tms", TMS_SQL)
+def req_validate_gettile_tms(spark, d):
+    """A tile named by its path: layer, level, column, row and kind of file."""
+    number = lambda k, n: F.when(c("event_id") % k == 0, "x1").otherwise(c(n).cast("string"))
+    kind = F.when(c("fmt") == 2, ".jpg").otherwise(".png")
+    path = F.concat_ws("/", F.lit("/tms/1.0.0"), F.concat(F.lit("lay"), c("layer").cast("string")), c("tm").cast("string"), number(23, "col"), F.concat(number(19, "row"), kind))
+    p = tiles(spark, d).select("event_id", F.slice(F.split(path, "/"), 4, 4).alias("p"))
+    last = F.split(F.get("p", F.lit(3)), r"\.")
+    e = p.select("event_id", F.get("p", F.lit(0)).alias("layer"), F.get("p", F.lit(1)).try_cast("long").alias("tm"), F.get("p", F.lit(2)).try_cast("long").alias("col"), F.get(last, F.lit(0)).try_cast("long").alias("row"), F.get(last, F.lit(1)).alias("kind"))
+    t = e.join(F.broadcast(limits(spark, d)), "tm", "left")
+    checks = [(c("layer").isin(*[f"lay{k}" for k in range(6)]), "404 layer"), (c("tm").between(0, 4), "404 level"), (c("col").isNotNull() & c("row").isNotNull(), "404 number"), (c("kind") == "png", "404 format"), (c("col").between(c("c0"), c("c1")) & c("row").between(c("r0"), c("r1")), "404 tile")]
+    return t.select("event_id", requests.first_failure(*checks).alias("error"))
 
 
 @query("req_validate_gfi_wmts", f"SELECT event_id, CASE WHEN layer >= 6 THEN 'LayerNotDefined' WHEN layer = 3 THEN 'LayerNotQueryable' WHEN (event_id % 300) >= 256 THEN 'PointIJOutOfRange' END AS error FROM ({TILE}) t")
