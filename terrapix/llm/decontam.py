@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 over test items, searched with block-max WAND.
 
-The question and the answer of each test item are cut, apart from each other, into segments of at most SEGMENT words, indexed
-in an inverted index whose postings carry each term's BM25 impact as a share of the segment's own score, so that one threshold
-serves all and a part is found wherever in a document the other stands. Every passage of a document (PASSAGE words,
+A leak holds both the question and the answer of a test item, so the longer of the two finds it, wherever in a document the
+other stands; the shorter is often a few words that are everywhere. The longer part is cut into segments of at most SEGMENT
+words, indexed in an inverted index whose postings carry each term's BM25 impact as a share of the segment's own score, so
+that one threshold serves all. Every passage of a document (PASSAGE words,
 one every STRIDE words, so that any SEGMENT consecutive words lie in one) is a query. A passage whose terms' largest impacts
 in no group of segments sum to the threshold can match nothing; the others are run through block-max WAND, which returns every
 segment at or above the threshold. A retrieved item counts as a leak once its question and its answer are both found in the document.
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 SEGMENT = 32
 STRIDE = 32
 PASSAGE = 2 * STRIDE
@@ -59,17 +62,17 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.items = {i: question_answer(t or "") for i, t in items}
+        self.item_ids = [i for i, _ in items]
+        self.parts = [question_answer(t or "") for _, t in items]
+        self.items = dict(zip(self.item_ids, self.parts, strict=True))
         self.segment_item: list[int] = []
         segments: list[list[str]] = []
-        for i, _ in items:
-            # An answer of a word or two is everywhere; a leak holds the item's question as well, which finds it.
-            longest = max(map(len, self.items[i]))
-            for ws in (p for p in self.items[i] if len(p) >= min(SHINGLE, longest)):
-                n = -(-len(ws) // SEGMENT)
-                for k in range(n):
-                    segments.append(ws[k * len(ws) // n : (k + 1) * len(ws) // n])
-                    self.segment_item.append(i)
+        for i, parts in enumerate(self.parts):
+            ws = max(parts, key=len)
+            n = -(-len(ws) // SEGMENT)
+            for k in range(n):
+                segments.append(ws[k * len(ws) // n : (k + 1) * len(ws) // n])
+                self.segment_item.append(i)
         mean = sum(map(len, segments)) / max(len(segments), 1)
         held: dict[str, list[tuple[int, int]]] = {}
         for s, ws in enumerate(segments):
@@ -172,7 +175,7 @@ class Index:
                 yield k * STRIDE, min(k * STRIDE + PASSAGE, n)
 
     def leaks(self, text: str | None) -> list[dict]:
-        """The verified items in a whole text, one entry an item."""
+        """The verified items in a whole text, one entry an item_id; of several texts of one item_id the best found counts."""
         ws = words(text)
         if not ws or not self.segment_item:
             return []
@@ -184,15 +187,16 @@ class Index:
             for s, score in self.search(terms[terms > 0].tolist()):
                 x = found.setdefault(self.segment_item[s], [0.0, a, b])
                 x[:] = max(x[0], score), min(x[1], a), max(x[2], b)
-        out = []
+        out: dict[int, dict] = {}
         if found:
             have = shingles(ws)
             short = " " + " ".join(ws) + " "
             for item, (score, a, b) in sorted(found.items()):
-                q, ans = (self._overlap(x, have, short) for x in self.items[item])
-                if q >= OVERLAP and ans >= OVERLAP:
-                    out.append({"item_id": item, "bm25": float(score), "first_word": a, "last_word": b - 1, "question_overlap": q, "answer_overlap": ans})
-        return out
+                q, ans = (self._overlap(x, have, short) for x in self.parts[item])
+                i = self.item_ids[item]
+                if q >= OVERLAP and ans >= OVERLAP and (i not in out or (min(q, ans), score) > (min(out[i]["question_overlap"], out[i]["answer_overlap"]), out[i]["bm25"])):
+                    out[i] = {"item_id": i, "bm25": float(score), "first_word": a, "last_word": b - 1, "question_overlap": q, "answer_overlap": ans}
+        return [out[i] for i in sorted(out)]
 
     @staticmethod
     def _overlap(part: list[str], have: set, joined: str) -> float:
@@ -215,13 +219,21 @@ def indexes(items: DataFrame, threshold: float = THRESHOLD, max_chars: int = MAX
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, max_index_chars: int = MAX_INDEX_CHARS, into: str = "leaks") -> DataFrame:
     """Adds leaks, under the name into, to docs (text, ...): an array of the benchmark items found and verified in the whole text, empty if none.
 
-    items has item_id and text; rows with a null in either are passed over. Null and empty texts have no leaks. Each index is
-    broadcast under a bound on its characters; more items mean more indexes, each searched by every passage.
+    items has item_id and text; rows with a null in either are passed over, and texts that share an item_id are searched
+    each, with one entry for all. Null and empty texts have no leaks; repeated rows each get theirs; an empty table gives an
+    empty one. Other columns stay, but one named like into is replaced. Each index is broadcast under a bound on its
+    characters; more items mean more indexes, each searched by every passage. The rows are stored between two indexes, so
+    that no worker ever holds more than one.
     """
+    spark = docs.sparkSession
     out = docs.withColumn(into, F.expr(f"CAST(array() AS {MATCH})"))
-    context = docs.sparkSession.sparkContext
+    scratch = None
     for index in indexes(items, threshold, max_index_chars):
-        out = out.withColumn(into, F.concat(into, _finder(context.broadcast(index))("text")))
+        if scratch:
+            out = scratch.write(out)
+        scratch = scratch or Scratch(spark, "decontam")
+        found = F.concat(into, _finder(spark.sparkContext.broadcast(index))("text"))
+        out = out.withColumn(into, F.array_sort(found))
     return out
 
 
