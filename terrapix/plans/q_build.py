@@ -252,12 +252,6 @@ def build_above_slab(spark, d):
     return view(spark, d, "f_dem").filter("mask <> 0").groupBy(F.lit(2).alias("lvl"), F.floor(c("col") / 4).alias("col"), F.floor(c("row") / 4).alias("row")).agg(F.round(F.avg("z"), 6).alias("z"))
 
 
-@query("build_update_ancestor", "SELECT lvl, col, row, 0 AS root_id FROM f_slab WHERE pyr = 'N' UNION ALL SELECT lvl, col, row, 1 FROM f_slab a WHERE pyr = 'A' AND NOT EXISTS (SELECT 1 FROM f_slab n WHERE n.pyr = 'N' AND n.lvl = a.lvl AND n.col = a.col AND n.row = a.row)")
-def build_update_ancestor(spark, d):
-    s = view(spark, d, "f_slab")
-    return pyramid.updated(s.filter("pyr = 'A'"), s.filter("pyr = 'N'"))
-
-
 @query("build_slab_action", f"SELECT lvl, col, row, CASE WHEN n > 1 THEN 'overlay' WHEN main IN ('A', 'N') THEN 'link' ELSE 'convert' END AS action FROM ({JOINED}) j")
 def build_slab_action(spark, d):
     j = join_pyramids_priority(spark, d)

@@ -200,10 +200,24 @@ def q_gfi_pyramid(spark, d):
     return e.join(view(spark, d, "f_rgb").select("col", "row", *"rgb"), ["col", "row"]).select("event_id", *"rgb")
 
 
-@query("q_gfi_external", "SELECT pt_id, printf('http://host/wms?REQUEST=GetFeatureInfo&BBOX=%.6f,%.6f,%.6f,%.6f&I=%d', lat, lon, lat + 1, lon + 1, pt_id % 256) AS url FROM f_point")
+_g = lambda *vs: ", ".join(f"regexp_replace(CAST({v} AS VARCHAR), '[.]0$', '')" for v in vs)
+_GFI = "'http://host/wms?REQUEST=GetFeatureInfo&VERSION=1.3.0&CRS=' || crs || '&BBOX=' || concat_ws(',', {box}) || '&I=' || (pt_id % 256)"
+EXTERNAL_SQL = f"SELECT pt_id, CASE WHEN crs = 'EPSG:4326' THEN {_GFI.format(box=_g('lat', 'lon', 'lat + 1', 'lon + 1'))} ELSE {_GFI.format(box=_g('lon', 'lat', 'lon + 1', 'lat + 1'))} END AS url FROM (SELECT *, CASE WHEN pt_id % 2 = 0 THEN 'EPSG:4326' ELSE 'CRS:84' END AS crs FROM f_point) p"
+
+
+def as_written(v):
+    """A number of less than seven digits before the point in the fewest digits that give it back."""
+    return F.regexp_replace(v.cast("string"), r"\.0$", "")
+
+
+@query("q_gfi_external", EXTERNAL_SQL)
 def q_gfi_external(spark, d):
-    p = c("lat"), c("lon")
-    return view(spark, d, "f_point").select("pt_id", F.format_string("http://host/wms?REQUEST=GetFeatureInfo&BBOX=%.6f,%.6f,%.6f,%.6f&I=%d", *p, p[0] + 1, p[1] + 1, c("pt_id") % 256).alias("url"))
+    """Feature info passed on to another service: the axes are swapped for the systems that put latitude first."""
+    p = view(spark, d, "f_point").withColumn("crs", F.when(c("pt_id") % 2 == 0, "EPSG:4326").otherwise("CRS:84"))
+    x, y = (c("lon"), c("lon") + 1), (c("lat"), c("lat") + 1)
+    box = lambda *vs: F.concat_ws(",", *map(as_written, vs))
+    bbox = F.when(c("crs") == "EPSG:4326", box(y[0], x[0], y[1], x[1])).otherwise(box(x[0], y[0], x[1], y[1]))
+    return p.select("pt_id", F.concat(F.lit("http://host/wms?REQUEST=GetFeatureInfo&VERSION=1.3.0&CRS="), "crs", F.lit("&BBOX="), bbox, F.lit("&I="), (c("pt_id") % 256).cast("string")).alias("url"))
 
 
 # The four formats of feature info.
