@@ -16,6 +16,11 @@ The similarity is one of two. "jaccard" is that of the shingle sets. "covered" i
 in a shingle which both texts hold: one changed word takes as many shingles with it as a shingle has words, but leaves all
 other words covered, so copies with a changed word in ten still have 0.8, while texts that share a passage have no more than
 the passage's share of them. Its candidates are pairs of which the equal min-hashes lie all over both texts.
+
+Min-hashes miss links: of short texts, which have few shingles, and of copies with changes all over. So an exact search goes
+over what they leave unconnected (_missed). Shingles that texts of two components hold are put in one order, rare ones first.
+Of a linked pair, all shared shingles come no earlier than the first shared one, so at that one what both texts have from there
+on suffices for the similarity. Pairs for which it does, at any shingle, are compared by their shingle hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -51,6 +56,9 @@ BATCH_BYTES = 64_000_000
 _factors = np.random.default_rng(9).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _inverses = np.array([pow(int(x), -1, 2**64) for x in _factors], np.uint64)
 BATCH_ROWS = 60_000
+#: Occurrences of shingles in a bucket of the exact search. 32 bits tell its shingles apart; those that share them only add pairs to compare.
+BUCKET = 1_000_000
+OCCURRENCES_AT_ONCE = 500_000
 PAIRS_AT_ONCE = 2_000_000
 
 
@@ -110,10 +118,10 @@ def _parts(best: np.ndarray, distinct: np.ndarray, first: np.ndarray, n: int) ->
 
 
 def sketches(docs: DataFrame, shingle: int, measure: str = "jaccard") -> DataFrame:
-    """As fingerprints, but fp of the distinct shingles, with sig (a byte of each min-hash and, for "covered", their places) and bands (hashes of groups of min-hashes)."""
+    """As fingerprints, but fp of the distinct shingles, with sig (a byte of each min-hash and, for "covered", their places), bands (hashes of groups of min-hashes), whole (a hash of all shingles in order) and n (how many these are; for "jaccard", distinct ones)."""
     bands, width = BANDS[measure]
 
-    @F.pandas_udf("fp long, sig binary, bands array<long>")
+    @F.pandas_udf("fp long, sig binary, bands array<long>, whole long, n long")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             out = []
@@ -123,8 +131,9 @@ def sketches(docs: DataFrame, shingle: int, measure: str = "jaccard") -> DataFra
                 best = min_hashes(h)
                 keys = [xxhash.xxh64_intdigest(best[k * width : (k + 1) * width].tobytes(), k) for k in range(bands)]
                 places = _parts(best, h, first, len(every)) if measure == "covered" else b""
-                out.append((simhash(h), best.astype(np.uint8).tobytes() + places, np.array(keys, np.uint64).view(np.int64)))
-            yield pd.DataFrame({"fp": np.array([x[0] for x in out], np.uint64).view(np.int64), "sig": [x[1] for x in out], "bands": [x[2] for x in out]})
+                out.append((simhash(h), best.astype(np.uint8).tobytes() + places, np.array(keys, np.uint64).view(np.int64), xxhash.xxh64_intdigest(every.tobytes(), 1), len(every if measure == "covered" else h)))
+            fps, whole = (np.array([x[k] for x in out], np.uint64).view(np.int64) for k in (0, 3))
+            yield pd.DataFrame({"fp": fps, "sig": [x[1] for x in out], "bands": [x[2] for x in out], "whole": whole, "n": np.array([x[4] for x in out], np.int64)})
 
     held = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), sketch(F.coalesce(F.col("text"), F.lit(""))).alias("s"))
     return held.select("doc_id", "row", "text_hash", "s.*")
@@ -223,13 +232,18 @@ def covered(a: np.ndarray, b: np.ndarray, shingle: int, distinct: tuple[np.ndarr
 
 
 class Check:
-    """How pairs of rows are verified: by their sketches, and by their shingle hashes where these are given."""
+    """How pairs of rows are verified: by their sketches, and by their shingle hashes where these are given.
+
+    With known, sig is no sketch but the component (8 bytes) that a row is known to be in, and all pairs of two components are likely.
+    """
 
-    def __init__(self, measure: str, least: float, exact: float = 0.0, shingle: int = 5):
-        self.measure, self.least, self.exact, self.shingle = measure, least, exact, shingle
+    def __init__(self, measure: str, least: float, exact: float = 0.0, shingle: int = 5, known: bool = False):
+        self.measure, self.least, self.exact, self.shingle, self.known = measure, least, exact, shingle, known
 
     def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of sketches have the share of equal min-hashes, less what chance gives; or, for "covered", enough of them all over both texts."""
+        if self.known:
+            return np.ones(len(a), bool)
         same = a[:, :PERMUTATIONS] == b[:, :PERMUTATIONS]
         share = (same.mean(axis=1) - 1 / 256) * (256 / 255)
         near = share >= self.least
@@ -261,6 +275,9 @@ def _stars(ids: np.ndarray, fps: np.ndarray, task: np.ndarray, role: np.ndarray,
     """
     trees, asks = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
     label = np.arange(len(fps))
+    if check and check.known and len(fps):
+        _, first, group = np.unique(np.stack([task.astype(np.int64), sig.view(">i8")[:, 0].astype(np.int64)], axis=1), axis=0, return_index=True, return_inverse=True)
+        label = first[group.reshape(-1)]
     distinct: dict[int, np.ndarray] = {}
 
     def connect(a: np.ndarray, b: np.ndarray) -> None:
@@ -380,20 +397,160 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     return rows.join(where.hint("merge"), "fp").select("doc_id", "fp", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")
 
 
+def _from_here_on(text: np.ndarray, key: np.ndarray, df: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of occurrences of shingles (text, key, df, place), the first of each shingle of a text, and how many words of the text stand in that shingle or in ones that come after it by (df, key)."""
+    order = np.lexsort((key, df))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (df[order][1:] != df[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    back = len(order) + 1 - rank  # small for shingles that come late
+    words = (text[:, None], at[:, None] + np.arange(width), back[:, None])
+    t, w, b = (np.broadcast_to(x, (len(text), width)).reshape(-1) for x in words)
+    order = np.lexsort((b, w, t))
+    t, w, b = t[order], w[order], b[order]
+    one = np.ones(len(t), bool)
+    one[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
+    span = len(text) + 2
+    latest = np.sort(t[one] * span + b[one])  # per word, the last of the shingles that it stands in
+    mine, first = np.unique(text * span + back, return_index=True)
+    return first, np.searchsorted(latest, mine, side="right") - np.searchsorted(latest, text[first] * span)
+
+
+def _missed(docs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, similarity: float, measure: str, chunk: int) -> DataFrame | None:
+    """Edges (a, b) that connect exactly the linked rows of nodes (id, fp, text_hash, n, label) that lie in different components (label); None if there is no pair to compare."""
+    width = shingle if measure == "covered" else 1
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(partitions, total // BUCKET + 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def dealt(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            sizes = [len(h) for _, _, h in held]
+            h = np.concatenate([h for _, _, h in held])
+            at = np.concatenate([np.arange(n) for n in sizes])
+            owner = np.repeat(np.arange(len(held)), sizes)
+            ids, apart = np.array([i for i, _, _ in held], np.int64), np.array([i - label for i, label, _ in held], np.int64)
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            out = []
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                texts, counts = np.unique(owner[part], return_counts=True)
+                narrow = [x.astype("<u2" if x.max() < 65536 else "<u4").tobytes() for x in (counts, at[part])]
+                out.append((int(bucket[part[0]]), ids[texts].tobytes(), apart[texts].tobytes(), narrow[0], (h[part] >> np.uint64(32)).astype("<u4").tobytes(), narrow[1]))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(zip(*out, strict=True))], names=["bucket", "ids", "apart", "counts", "keys", "at"])
+
+        held, size = [], 0
+        for batch in batches:
+            for i, label, text in zip(*batch.columns, strict=True):
+                i = i.as_py()
+                if i in seen:
+                    continue
+                seen.add(i)
+                h = shingle_hashes(text.as_py(), shingle)
+                held.append((i, label.as_py(), h if measure == "covered" else np.unique(h)))
+                size += len(held[-1][2])
+                if size >= OCCURRENCES_AT_ONCE:
+                    yield dealt(held)
+                    held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(x: bytes, n: int) -> np.ndarray:
+            return np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64)
+
+        def several(bucket: int, held: list[tuple]) -> pa.RecordBatch:
+            rows = []
+            for ids, apart, counts, keys, at in held:
+                ids, apart, keys = np.frombuffer(ids, np.int64), np.frombuffer(apart, np.int64), np.frombuffer(keys, "<u4")
+                n = read(counts, len(ids))
+                rows.append((keys, np.repeat(ids, n), np.repeat(ids - apart, n), read(at, len(keys))))
+            key, ids, labels, at = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, ids, labels, at = key[order].astype(np.int64), ids[order], labels[order], at[order]
+            first = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+            df = np.diff(np.append(first, len(key)))
+            kept = np.repeat(np.minimum.reduceat(labels, first) < np.maximum.reduceat(labels, first), df)
+            columns = (key | bucket << 32, ids, labels, at, np.repeat(df, df))
+            return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in columns], names=["key", "id", "label", "at", "df"])
+
+        now, held = -1, []
+        for batch in batches:
+            for bucket, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield several(now, held)
+                    held = []
+                now = bucket
+                held.append(rest)
+        if held:
+            yield several(now, held)
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    held = texts.join(nodes.select("text_hash", "id", "label").hint("merge"), "text_hash").select("id", "label", "text")
+    spread = held.mapInArrow(deal, "bucket long, ids binary, apart binary, counts binary, keys binary, at binary")
+    shared = scratch.write(spread.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(share, "key long, id long, label long, at long, df long"))
+    alike = Window.partitionBy("key")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def weighed(x: np.ndarray) -> pa.RecordBatch:
+            text = np.cumsum(np.concatenate(([0], x[1:, 0] != x[:-1, 0])))
+            first, have = _from_here_on(text, x[:, 2], x[:, 4], x[:, 3], width)
+            x = x[first]
+            spare = have - similarity * (x[:, 5] + shingle - 1) if measure == "covered" else have * (1 + similarity) / 2 - similarity * x[:, 5]
+            return pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), pa.array(spare.astype(np.float64))], names=["id", "label", "key", "spare"])
+
+        held: list[np.ndarray] = []
+        rows = 0
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
+            rows += len(batch)
+            if rows >= OCCURRENCES_AT_ONCE:
+                x = np.concatenate(held)
+                last = np.flatnonzero(x[1:, 0] != x[:-1, 0])
+                held, rows = [x], 0
+                if len(last):
+                    yield weighed(x[: last[-1] + 1])
+                    held, rows = [x[last[-1] + 1 :]], len(x) - int(last[-1]) - 1
+        if held:
+            x = np.concatenate(held)
+            if len(x):
+                yield weighed(x)
+
+    columns = ("id", "label", "key", "at", "df", "n")
+    dealt = shared.join(nodes.select("id", "n"), "id").select(*columns).repartition(partitions, "id").sortWithinPartitions("id")
+    weights = scratch.write(dealt.mapInArrow(weigh, "id long, label long, key long, spare double"))
+    most = weights.groupBy("key").agg(F.max(F.struct("spare", "label")).alias("most")).filter("most.spare > -1e-6")
+    near = weights.join(most, "key").filter("spare + most.spare > -1e-6")
+    near = near.select("id", "label", F.col("most.label").alias("other"), F.min("label").over(alike).alias("lo"), F.max("label").over(alike).alias("hi")).filter("lo < hi")
+    near = scratch.write(near.select("id", "label", "other").distinct())
+    scratch.drop(shared, weights)
+    if near.isEmpty():
+        return None
+    joined = components(scratch.write(near.filter("label <> other").select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()), scratch)
+    clusters = near.select("id", "label").distinct().join(joined.select(F.col("node").alias("label"), F.col("label").alias("shard")), "label")
+    members = clusters.join(nodes.select("id", "fp", "text_hash").hint("merge"), "id").select("id", "fp", "shard", "text_hash", F.unhex(F.lpad(F.hex("label"), 16, "0")).alias("sig"))
+    cells = scratch.write(_with_hashes(docs, scratch.write(members), shingle, measure))
+    return scratch.write(_search(cells, scratch, 64, chunk, Check(measure, 0.0, similarity, shingle, known=True)).distinct())
+
+
 def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = 64, chunk: int = CHUNK, measure: str = "jaccard") -> DataFrame:
     """One row per row of docs (doc_id, text, ...): doc_id, component_id, kept, text_hash.
 
     Texts are linked that have at least the similarity, exactly: by the Jaccard similarity of their sets of word shingles, or
     by measure "covered" (above). Two texts are compared if they share a band (BANDS) and, for "jaccard", the estimate from
     PERMUTATIONS min-hashes falls short by no more than MARGIN; for "covered", that or COVERED_SHARE in COVERED_PARTS of both
-    texts. component_id is the smallest doc_id reachable over links, and exactly one row per component, the smallest, is
+    texts. An exact search then finds the links between components that these comparisons missed. component_id is the smallest doc_id reachable over links, and exactly one row per component, the smallest, is
     kept. Null and empty texts are one component. Null doc_ids sort after all others; rows that repeat are one component.
     Further columns are ignored. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.write(sketches(docs, shingle, measure))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    nodes = scratch.write(rows.groupBy("fp", "sig").agg(first.alias("first"), F.min("row").alias("id"), F.min("bands").alias("bands")))
+    nodes = scratch.write(rows.groupBy("fp", "whole").agg(first.alias("first"), F.min("row").alias("id"), *[F.first(x).alias(x) for x in ("sig", "bands", "n")]))
     bands = scratch.write(nodes.select("id", F.posexplode("bands").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("shard")))
     shared = scratch.write(bands.groupBy("shard").count().filter("count > 1").select("shard"))
     cells = scratch.write(bands.join(shared.hint("merge"), "shard").select("id", "shard"))
@@ -406,8 +563,12 @@ def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMIL
     cells = scratch.write(_with_hashes(docs, members, shingle, measure))
     edges = scratch.write(_search(cells, scratch, 64, chunk, Check(measure, similarity - MARGIN, similarity, shingle)).distinct())
     scratch.drop(cells, members)
-    labels = components(edges, scratch)
-    own = scratch.write(nodes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp", "sig", F.coalesce("label", "id").alias("label"), "first"))
+    labels = components(edges, scratch).select(F.col("node").alias("id"), "label")
+    own = scratch.write(nodes.join(labels, "id", "left").join(rows.select(F.col("row").alias("id"), "text_hash").hint("merge"), "id").select("id", "fp", "whole", "text_hash", "n", F.coalesce("label", "id").alias("label"), "first"))
+    missed = _missed(docs, own, scratch, shingle, similarity, measure, chunk)
+    if missed is not None:
+        labels = components(edges.union(missed), scratch).select(F.col("node").alias("id"), F.col("label").alias("found"))
+        own = scratch.write(own.join(labels, "id", "left").select("fp", "whole", F.coalesce("found", "id").alias("label"), "first"))
     best = scratch.write(own.groupBy("label").agg(F.min("first").alias("best")))
-    where = scratch.write(own.join(best.hint("merge"), "label").select("fp", "sig", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row")))
-    return rows.join(where.hint("merge"), ["fp", "sig"]).select("doc_id", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")
+    where = scratch.write(own.join(best.hint("merge"), "label").select("fp", "whole", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row")))
+    return rows.join(where.hint("merge"), ["fp", "whole"]).select("doc_id", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "text_hash")

@@ -103,3 +103,36 @@ def test_odd_rows(spark):
     assert len(got) == 9 and sum(r["kept"] for r in got) == 4
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 4), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 5), (6, 6), (7, 6)]
     assert simhash.near_components(df.limit(0), measure="covered").count() == 0
+
+
+def test_no_link_is_lost_that_min_hashes_miss(spark):
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(30_000)}" for _ in range(n)]
+    texts = []
+    for g in range(12):
+        for n in (11, 14, 18, 30):  # too short for min-hashes in eleven sixteenths
+            a = say(n)
+            texts += [a, [*a[: n // 2], f"x{g}", *a[n // 2 + 1 :]]]
+        for gap in (5, 6, 8):  # changes all over: one shingle in six is shared, or none
+            a = say(240)
+            texts += [a, [f"x{k}" if k % gap == gap - 1 else w for k, w in enumerate(a)]]
+        a, b = say(34), say(470)  # one holds a passage of the other many times over
+        texts += [a * 60, b[:200] + a + b[200:]]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    for chunk in (16, 2048):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(frame, chunk=chunk, measure="covered").collect()}
+        linked = [_slow(texts[k], texts[k + 1]) >= 0.8 for k in range(0, len(texts), 2)]
+        assert sum(linked) == 12 * 7 and got == {k: k - (k % 2 if linked[k // 2] else 0) for k in range(len(texts))}
+
+
+def test_words_from_a_shingle_on():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(1, 60))
+        text, key, at = np.sort(rng.integers(0, 4, n)), rng.integers(0, 12, n), rng.permutation(n)
+        df = rng.integers(2, 5, 12)[key]
+        for width in (1, 5):
+            first, have = simhash._from_here_on(text, key, df, at, width)
+            assert {(text[f], key[f]) for f in first} == set(zip(text, key, strict=True)) and len(first) == len({*zip(text, key, strict=True)})
+            for f, words in zip(first, have, strict=True):
+                assert words == len({at[k] + d for k in range(n) if text[k] == text[f] and (df[k], key[k]) >= (df[f], key[f]) for d in range(width)})
