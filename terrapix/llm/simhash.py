@@ -20,7 +20,8 @@ the passage's share of them. Its candidates are pairs of which the equal min-has
 Min-hashes miss links: of short texts, which have few shingles, and of copies with changes all over. So an exact search goes
 over what they leave unconnected (_missed). Shingles that texts of two components hold are put in one order, rare ones first.
 Of a linked pair, all shared shingles come no earlier than the first shared one, so at that one what both texts have from there
-on suffices for the similarity. Pairs for which it does, at any shingle, are compared by their shingle hashes.
+on suffices for the similarity. Pairs for which it does, at any shingle, are compared by their shingle hashes, and no others: first
+those of one text of each component with the text that has most at a shingle, then all that are still in different components.
 """
 
 from __future__ import annotations
@@ -232,18 +233,13 @@ def covered(a: np.ndarray, b: np.ndarray, shingle: int, distinct: tuple[np.ndarr
 
 
 class Check:
-    """How pairs of rows are verified: by their sketches, and by their shingle hashes where these are given.
+    """How pairs of rows are verified: by their sketches, and by their shingle hashes where these are given."""
 
-    With known, sig is no sketch but the component (8 bytes) that a row is known to be in, and all pairs of two components are likely.
-    """
-
-    def __init__(self, measure: str, least: float, exact: float = 0.0, shingle: int = 5, known: bool = False):
-        self.measure, self.least, self.exact, self.shingle, self.known = measure, least, exact, shingle, known
+    def __init__(self, measure: str, least: float, exact: float = 0.0, shingle: int = 5):
+        self.measure, self.least, self.exact, self.shingle = measure, least, exact, shingle
 
     def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of sketches have the share of equal min-hashes, less what chance gives; or, for "covered", enough of them all over both texts."""
-        if self.known:
-            return np.ones(len(a), bool)
         same = a[:, :PERMUTATIONS] == b[:, :PERMUTATIONS]
         share = (same.mean(axis=1) - 1 / 256) * (256 / 255)
         near = share >= self.least
@@ -275,9 +271,6 @@ def _stars(ids: np.ndarray, fps: np.ndarray, task: np.ndarray, role: np.ndarray,
     """
     trees, asks = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
     label = np.arange(len(fps))
-    if check and check.known and len(fps):
-        _, first, group = np.unique(np.stack([task.astype(np.int64), sig.view(">i8")[:, 0].astype(np.int64)], axis=1), axis=0, return_index=True, return_inverse=True)
-        label = first[group.reshape(-1)]
     distinct: dict[int, np.ndarray] = {}
 
     def connect(a: np.ndarray, b: np.ndarray) -> None:
@@ -417,8 +410,88 @@ def _from_here_on(text: np.ndarray, key: np.ndarray, df: np.ndarray, at: np.ndar
     return first, np.searchsorted(latest, mine, side="right") - np.searchsorted(latest, text[first] * span)
 
 
-def _missed(docs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, similarity: float, measure: str, chunk: int) -> DataFrame | None:
-    """Edges (a, b) that connect exactly the linked rows of nodes (id, fp, text_hash, n, label) that lie in different components (label); None if there is no pair to compare."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The rows of batches of integers sorted by the first column, in arrays that do not part rows of one value of it."""
+    held: list[np.ndarray] = []
+    rows = 0
+    for batch in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
+        rows += len(batch)
+        if rows >= OCCURRENCES_AT_ONCE:
+            x = np.concatenate(held)
+            last = np.flatnonzero(x[1:, 0] != x[:-1, 0])
+            held, rows = [x], 0
+            if len(last):
+                yield x[: last[-1] + 1]
+                held, rows = [x[last[-1] + 1 :]], len(x) - int(last[-1]) - 1
+    x = np.concatenate(held) if held else np.zeros((0, 0), np.int64)
+    if len(x):
+        yield x
+
+
+def _pairs(key: np.ndarray, ident: np.ndarray, label: np.ndarray, prev: np.ndarray, spare: np.ndarray, hubs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of rows of one key and two labels whose spares add up to zero at least; with hubs, only of the largest spare of a key with the largest of each other label.
+
+    Rows that have the previous key in common are passed over: they are a pair there, or at a key before it.
+    """
+    if not len(key):
+        return
+    rows = np.lexsort((ident, -spare, key))
+    new = np.append(True, key[rows][1:] != key[rows][:-1])
+    most = spare[rows][new][np.cumsum(new) - 1]
+    rows = rows[spare[rows] + most > -1e-6]
+    for group in np.split(rows, np.flatnonzero(np.diff(key[rows])) + 1) if len(rows) else []:
+        of, before, has = label[group], prev[group], spare[group]
+        if (of == of[0]).all():
+            continue
+        if hubs:
+            first = np.unique(of, return_index=True)[1]
+            first = first[first > 0]
+            yield np.full(len(first), group[0]), group[first]
+            continue
+        for k in range(int((has > -1e-6).sum())):
+            reach = int(np.searchsorted(-has, has[k] + 1e-6))  # spares descend
+            other = np.arange(k + 1, reach)
+            other = other[(of[other] != of[k]) & ((before[other] != before[k]) | (before[k] < 0))]
+            if len(other):
+                yield np.full(len(other), group[k]), group[other]
+
+
+def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, check: Check, chunk: int) -> DataFrame:
+    """Of pairs (a, b, la, lb) of nodes in two components, links that connect the same components as all links do. Each a meets chunks of its b."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / chunk)
+    dealt = scratch.write(pairs.withColumn("part", numbered))
+    heads = dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("id"), F.col("la").alias("label")).distinct()
+    rows = scratch.write(heads.union(dealt.select("a", "part", F.lit(1), "b", "lb")))
+    members = rows.select("id").distinct().join(nodes.select("id", "fp", "text_hash").hint("merge"), "id")
+    members = scratch.write(members.select("id", "fp", "text_hash", F.lit(0).alias("shard"), F.lit(0).alias("sig")))
+    hashes = scratch.write(_with_hashes(docs, members, check.shingle, check.measure).select("id", "hashes"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, joined, distinct = None, set(), {}
+        for batch in batches:
+            out = []
+            for a, _, role, b, label, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.frombuffer(h, np.uint64)
+                if not role:
+                    head, joined, distinct = h, {label}, {}
+                    continue
+                if label in joined:
+                    continue
+                distinct.pop(1, None)
+                if check.holds([head, h], distinct, 0, 1):
+                    joined.add(label)
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    whole = rows.join(hashes.hint("merge"), "id").select("a", "part", "role", "id", "label", "hashes")
+    whole = whole.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", "role", "id")
+    return scratch.write(whole.mapInArrow(compare, "a long, b long"))
+
+
+def _missed(docs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, similarity: float, measure: str, chunk: int) -> DataFrame:
+    """Edges (a, b) that connect exactly the linked rows of nodes (id, fp, text_hash, n, label) that lie in different components (label)."""
     width = shingle if measure == "covered" else 1
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -470,12 +543,13 @@ def _missed(docs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, s
                 n = read(counts, len(ids))
                 rows.append((keys, np.repeat(ids, n), np.repeat(ids - apart, n), read(at, len(keys))))
             key, ids, labels, at = (np.concatenate(x) for x in zip(*rows, strict=True))
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((ids, key))
             key, ids, labels, at = key[order].astype(np.int64), ids[order], labels[order], at[order]
             first = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
-            df = np.diff(np.append(first, len(key)))
-            kept = np.repeat(np.minimum.reduceat(labels, first) < np.maximum.reduceat(labels, first), df)
-            columns = (key | bucket << 32, ids, labels, at, np.repeat(df, df))
+            n = np.diff(np.append(first, len(key)))
+            df = np.add.reduceat(np.append(True, (np.diff(key) != 0) | (np.diff(ids) != 0)).astype(np.int64), first)  # texts: one that repeats a shingle does not make it frequent
+            kept = np.repeat(np.minimum.reduceat(labels, first) < np.maximum.reduceat(labels, first), n)
+            columns = (key | bucket << 32, ids, labels, at, np.repeat(df, n))
             return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in columns], names=["key", "id", "label", "at", "df"])
 
         now, held = -1, []
@@ -493,48 +567,57 @@ def _missed(docs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, s
     held = texts.join(nodes.select("text_hash", "id", "label").hint("merge"), "text_hash").select("id", "label", "text")
     spread = held.mapInArrow(deal, "bucket long, ids binary, apart binary, counts binary, keys binary, at binary")
     shared = scratch.write(spread.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(share, "key long, id long, label long, at long, df long"))
-    alike = Window.partitionBy("key")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def weighed(x: np.ndarray) -> pa.RecordBatch:
+        for x in _whole(batches):
             text = np.cumsum(np.concatenate(([0], x[1:, 0] != x[:-1, 0])))
             first, have = _from_here_on(text, x[:, 2], x[:, 4], x[:, 3], width)
-            x = x[first]
+            text, x = text[first], x[first]
+            order = np.lexsort((x[:, 2], x[:, 4], text))
+            prev = np.full(len(x), -1)
+            prev[order[1:]] = np.where(text[order[1:]] == text[order[:-1]], x[order[:-1], 2], -1)
             spare = have - similarity * (x[:, 5] + shingle - 1) if measure == "covered" else have * (1 + similarity) / 2 - similarity * x[:, 5]
-            return pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), pa.array(spare.astype(np.float64))], names=["id", "label", "key", "spare"])
-
-        held: list[np.ndarray] = []
-        rows = 0
-        for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
-            rows += len(batch)
-            if rows >= OCCURRENCES_AT_ONCE:
-                x = np.concatenate(held)
-                last = np.flatnonzero(x[1:, 0] != x[:-1, 0])
-                held, rows = [x], 0
-                if len(last):
-                    yield weighed(x[: last[-1] + 1])
-                    held, rows = [x[last[-1] + 1 :]], len(x) - int(last[-1]) - 1
-        if held:
-            x = np.concatenate(held)
-            if len(x):
-                yield weighed(x)
+            columns = (x[:, 2], x[:, 0], x[:, 1], prev, x[:, 5], spare.astype(np.float64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "label", "prev", "n", "spare"])
 
     columns = ("id", "label", "key", "at", "df", "n")
     dealt = shared.join(nodes.select("id", "n"), "id").select(*columns).repartition(partitions, "id").sortWithinPartitions("id")
-    weights = scratch.write(dealt.mapInArrow(weigh, "id long, label long, key long, spare double"))
-    most = weights.groupBy("key").agg(F.max(F.struct("spare", "label")).alias("most")).filter("most.spare > -1e-6")
-    near = weights.join(most, "key").filter("spare + most.spare > -1e-6")
-    near = near.select("id", "label", F.col("most.label").alias("other"), F.min("label").over(alike).alias("lo"), F.max("label").over(alike).alias("hi")).filter("lo < hi")
-    near = scratch.write(near.select("id", "label", "other").distinct())
-    scratch.drop(shared, weights)
-    if near.isEmpty():
-        return None
-    joined = components(scratch.write(near.filter("label <> other").select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()), scratch)
-    clusters = near.select("id", "label").distinct().join(joined.select(F.col("node").alias("label"), F.col("label").alias("shard")), "label")
-    members = clusters.join(nodes.select("id", "fp", "text_hash").hint("merge"), "id").select("id", "fp", "shard", "text_hash", F.unhex(F.lpad(F.hex("label"), 16, "0")).alias("sig"))
-    cells = scratch.write(_with_hashes(docs, scratch.write(members), shingle, measure))
-    return scratch.write(_search(cells, scratch, 64, chunk, Check(measure, 0.0, similarity, shingle, known=True)).distinct())
+    weights = scratch.write(dealt.mapInArrow(weigh, "key long, id long, label long, prev long, n long, spare long"))
+    scratch.drop(shared)
+    check = Check(measure, 0.0, similarity, shingle)
+
+    def links_of(weights: DataFrame, hubs: bool) -> DataFrame:
+        """Links between components; a is the longer text of a pair."""
+
+        def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out(held: list[np.ndarray]) -> pa.RecordBatch:
+                x = np.unique(np.concatenate(held), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)], names=["a", "b", "la", "lb"])
+
+            for x in _whole(batches):
+                held, size = [], 0
+                for i, j in _pairs(x[:, 0], x[:, 1], x[:, 2], x[:, 3], np.ascontiguousarray(x[:, 5]).view(np.float64), hubs):
+                    longer = (x[i, 4] > x[j, 4]) | ((x[i, 4] == x[j, 4]) & (x[i, 1] > x[j, 1]))
+                    i, j = np.where(longer, i, j), np.where(longer, j, i)
+                    held.append(np.stack([x[i, 1], x[j, 1], x[i, 2], x[j, 2]], axis=1))
+                    size += len(i)
+                    if size >= PAIRS_AT_ONCE:
+                        yield out(held)
+                        held, size = [], 0
+                if size:
+                    yield out(held)
+
+        sorted_ = weights.select("key", "id", "label", "prev", "n", "spare").repartition(partitions, "key").sortWithinPartitions("key")
+        pairs = scratch.write(sorted_.mapInArrow(pair, "a long, b long, la long, lb long").distinct())
+        return pairs if pairs.isEmpty() else _compared(docs, nodes, pairs, scratch, check, chunk)
+
+    found = links_of(weights, True).select("a", "b")
+    if not found.isEmpty():
+        at = nodes.select("id", "label")
+        ends = scratch.write(found.join(at.withColumnRenamed("id", "a").withColumnRenamed("label", "la"), "a").join(at.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b"))
+        joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        weights = scratch.write(weights.join(joined.hint("merge"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
+    return scratch.write(found.union(links_of(weights, False).select("a", "b")).distinct())
 
 
 def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = 64, chunk: int = CHUNK, measure: str = "jaccard") -> DataFrame:
@@ -566,7 +649,7 @@ def near_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMIL
     labels = components(edges, scratch).select(F.col("node").alias("id"), "label")
     own = scratch.write(nodes.join(labels, "id", "left").join(rows.select(F.col("row").alias("id"), "text_hash").hint("merge"), "id").select("id", "fp", "whole", "text_hash", "n", F.coalesce("label", "id").alias("label"), "first"))
     missed = _missed(docs, own, scratch, shingle, similarity, measure, chunk)
-    if missed is not None:
+    if not missed.isEmpty():
         labels = components(edges.union(missed), scratch).select(F.col("node").alias("id"), F.col("label").alias("found"))
         own = scratch.write(own.join(labels, "id", "left").select("fp", "whole", F.coalesce("found", "id").alias("label"), "first"))
     best = scratch.write(own.groupBy("label").agg(F.min("first").alias("best")))

@@ -136,3 +136,40 @@ def test_words_from_a_shingle_on():
             assert {(text[f], key[f]) for f in first} == set(zip(text, key, strict=True)) and len(first) == len({*zip(text, key, strict=True)})
             for f, words in zip(first, have, strict=True):
                 assert words == len({at[k] + d for k in range(n) if text[k] == text[f] and (df[k], key[k]) >= (df[f], key[f]) for d in range(width)})
+
+
+def test_a_shared_line_compares_no_whole_cluster(spark, monkeypatch):
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    line, looked = say(9), []
+    texts = [[*say(60), *line, *say(40)] for _ in range(300)]
+    for _ in range(4):  # all but the line is a pair of words over and over
+        texts.append([*line, *["on", "off"] * 250])
+    search = simhash._search
+
+    def searched(cells, *more):
+        if "hashes" in cells.columns:
+            looked.append(sum(r["count"] * (r["count"] - 1) // 2 for r in cells.groupBy("shard").count().collect()))
+        return search(cells, *more)
+
+    monkeypatch.setattr(simhash, "_search", searched)
+    if hasattr(simhash, "_compared"):
+        compare = simhash._compared
+        monkeypatch.setattr(simhash, "_compared", lambda docs, nodes, pairs, *more: (looked.append(pairs.count()), compare(docs, nodes, pairs, *more))[1])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), measure="covered").collect()}
+    assert got == {k: min(k, 300) for k in range(len(texts))}
+    assert sum(looked) <= 2 * len(texts)
+
+
+def test_pairs_are_those_that_suffice_at_a_shingle():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        n = int(rng.integers(0, 40))
+        key, ident = rng.integers(0, 5, n), np.arange(n)
+        label, spare = rng.integers(0, 4, n), rng.integers(-5, 4, n).astype(float)
+        alone = np.full(n, -1)
+        want = {(i, j) for i, j in combinations(range(n), 2) if key[i] == key[j] and label[i] != label[j] and spare[i] + spare[j] >= 0}
+        got = [tuple(sorted(p)) for a, b in simhash._pairs(key, ident, label, alone, spare, False) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert {tuple(sorted(p)) for a, b in simhash._pairs(key, ident, label, alone, spare, True) for p in zip(a.tolist(), b.tolist(), strict=True)} <= want
+        assert not list(simhash._pairs(key, ident, label, np.full(n, 7), spare, False))
