@@ -4,12 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrapix.functions import vector_tiles
 from terrapix.operators import pyramid, raster
 from terrapix.operators.shared import Scratch
+from terrapix.plans.catalog import QUERIES
 from terrapix.sources import jdbc, slabs
 
 
@@ -91,3 +93,12 @@ def test_copies_follow_links(spark, tmp_path):
     slabs.write_files(spark.createDataFrame([("x/one", bytearray(b"1" * 50)), ("x/two", bytearray(b"2" * 5)), ("x/link", bytearray(b"SYMLINK#one"))], "path string, data binary"), a)
     slabs.copy_files(spark, a, b, 10)
     assert {p.name: p.read_bytes() for p in (tmp_path / "b" / "x").iterdir() if not p.name.startswith(".")} == {"one": b"1" * 50, "link": b"1" * 50}
+
+
+def test_union_of_footprints_that_repeat(spark, tmp_path):
+    """Union strips are made of distinct intervals: repeats neither add rows to sort nor tie in their order."""
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    part.union(part).union(part).write.parquet(f"{tmp_path}/part.parquet")
+    once, thrice = (QUERIES["set_union_geom"](spark, d) for d in (SF, str(tmp_path)))
+    assert sorted(once.collect()) == sorted(thrice.collect())
+    assert thrice._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 4  # boxes and intervals are made distinct
