@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..operators import pyramid
+from ..operators.shared import Scratch
 from ..sources.tables import table, view
 from .q_grid import COMPATIBLE, _path_sql, compatible
 from .registry import query
@@ -296,10 +297,11 @@ def sink_slab_list(spark, d):
 
 @query("scan_slab_list", "SELECT pyr, lvl, col, row FROM f_slab")
 def scan_slab_list(spark, d):
-    """The list's lines parsed back: root, type, level and the indices of the path."""
+    """The list's lines, stored and parsed back: root, type, level and the indices of the path. Else what joins ask of a line would be asked of each row that its slab comes from."""
     roots = F.broadcast(spark.createDataFrame([("0", "A"), ("1", "N"), ("2", "R")], "root string, pyr string"))
     p = F.split(F.regexp_replace("path", r"\.tif$", ""), "/")
-    parsed = listed(spark, d).select(F.get(p, 0).alias("root"), F.get(p, 2).cast("int").alias("lvl"), grid.b36_unpath(F.array_join(F.slice(p, 4, 10), "/")).alias("x"))
+    lines = Scratch(spark, "list").write(listed(spark, d).select("path"))
+    parsed = lines.select(F.get(p, 0).alias("root"), F.get(p, 2).cast("int").alias("lvl"), grid.b36_unpath(F.array_join(F.slice(p, 4, 10), "/")).alias("x"))
     return parsed.join(roots, "root").select("pyr", "lvl", "x.col", "x.row")
 
 
