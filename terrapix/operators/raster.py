@@ -105,10 +105,12 @@ def hillshade(n: DataFrame, res: float, zenith: float, azimuth: float, z_factor:
 
 
 def top_wins(cells: DataFrame, keys: list[str], order: str, bands: list[str]) -> DataFrame:
-    """Of stacked cells the last in order whose mask is not 0; a grouped max_by with partial aggregation."""
-    data = F.col("mask") != 0
-    pick = F.max_by(F.struct(*bands), F.when(data, F.col(order)))
-    return cells.groupBy(*keys).agg(pick.alias("_p"), F.max("mask").alias("mask")).select(*keys, *[F.col(f"_p.{b}").alias(b) for b in bands], "mask")
+    """Of stacked cells the last in order whose mask is not 0; a grouped max_by with partial aggregation. The order must be total.
+
+    One max_by a band: of plain numbers they are hashed, so that a task holds a row a place; of a struct all its cells would be sorted.
+    """
+    at = F.when(F.col("mask") != 0, F.col(order))
+    return cells.groupBy(*keys).agg(*[F.max_by(b, at).alias(b) for b in bands], F.max("mask").alias("mask"))
 
 
 def fold_layers(cells: DataFrame, keys: list[str], order: str, start: Column, step, values: list[str]) -> DataFrame:

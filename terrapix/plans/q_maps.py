@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels
 from ..operators import raster, resample
+from ..operators.shared import spread
 from ..sources import slabs
 from ..sources.tables import view
 from .q_build import _COVERED, covered
@@ -83,7 +84,7 @@ def getmap(spark, dem, top, levels, asked):
     both = placed.join(base, ["col", "row"], "left").join(over, ["tc", "tr"], "left")
     both = both.select("col", "row", F.coalesce("base", none).alias("base"), F.coalesce("top", none).alias("top")).select("col", "row", raster.over(c("base"), c("top")).alias("px"))
     image = both.select("col", "row", *[pixels.to_u8(F.round(c(f"px.{x}") * 255, 6)).alias(x) for x in "rgba"])
-    coded = slabs.encode_tiles(slabs.tile_samples(image, list("rgba"), mw, mh), mw, mh, 4, "uint8", "png")
+    coded = slabs.encode_tiles(slabs.tile_samples(image, list("rgba"), mw, mh, "uint8"), mw, mh, 4, "uint8", "png")
     return slabs.cells_of(slabs.decode_tiles(coded, mw, mh, 4, "uint8", "png"), list("rgba"), mw, mh).select(c("row").alias("line"), c("col").alias("x"), *"rgba")
 
 
@@ -152,11 +153,11 @@ def build_bottom_slab(spark, d):
     """Slabs that images cover: each pixel of the last image over its centre, else of the background; encoded as slabs, here decoded again."""
     span = lambda a, b: F.sequence(F.ceil(c(a) / PIXEL - 0.5), F.ceil(c(b) / PIXEL - 0.5) - 1)
     held = view(spark, d, "f_img").filter((F.ceil(c("xmin") / PIXEL - 0.5) < F.ceil(c("xmax") / PIXEL - 0.5)) & (F.ceil(c("ymin") / PIXEL - 0.5) < F.ceil(c("ymax") / PIXEL - 0.5)))
-    px = held.select("img_id", F.explode(span("xmin", "xmax")).alias("col"), "ymin", "ymax").select("img_id", "col", F.explode(span("ymin", "ymax")).alias("row"))
+    px = spread(held, "img_id").select("img_id", F.explode(span("xmin", "xmax")).alias("col"), "ymin", "ymax").select("img_id", "col", F.explode(span("ymin", "ymax")).alias("row"))
     top = raster.top_wins(px.select("col", "row", "img_id", (c("img_id") % 251).alias("v"), F.lit(255).alias("mask")), ["col", "row"], "img_id", ["v"]).drop("mask")
     keys = covered(spark, d).select("col", "row").distinct().withColumnsRenamed({"col": "sc", "row": "sr"})
     canvas = keys.select("sc", "sr", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("i")).select((c("sc") * SIDE + c("i") % SIDE).alias("col"), (c("sr") * SIDE + F.floor(c("i") / SIDE)).alias("row"))
     cells = canvas.join(top, ["col", "row"], "left").select("col", "row", F.coalesce("v", F.lit(BACKGROUND)).alias("v"))
-    tiles = slabs.encode_tiles(slabs.tile_samples(cells, ["v"], SIDE // 2, SIDE // 2), SIDE // 2, SIDE // 2, 1, "uint8", "lzw")
+    tiles = slabs.encode_tiles(slabs.tile_samples(cells, ["v"], SIDE // 2, SIDE // 2, "uint8"), SIDE // 2, SIDE // 2, 1, "uint8", "lzw")
     whole = slabs.unpack_slabs(slabs.pack_slabs(tiles, 2, 2, SIDE // 2, SIDE // 2, 1, "uint8", "lzw"), 2, 2)
     return slabs.cells_of(slabs.decode_tiles(whole, SIDE // 2, SIDE // 2, 1, "uint8", "lzw"), ["v"], SIDE // 2, SIDE // 2)
