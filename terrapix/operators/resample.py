@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import taps
+from ..functions.pixels import RADIUS, taps
+from .shared import filtered_here
 
 
 def resample_axis(samples: DataFrame, axis: str, other: list[str], value: str, kernel: str, ratio: float, offset: float, size: int, count: int, mask: str | None = None) -> DataFrame:
@@ -67,10 +70,36 @@ def reproject_nearest(grid: DataFrame, cells: DataFrame, values: list[str]) -> D
     return at.join(src, ["_c", "_r"], "left").select("col", "row", *values)
 
 
+BLOCK = 32
+
+
 def reproject_kernel(grid: DataFrame, cells: DataFrame, value: str, kernel: str, src_width: int, src_height: int) -> DataFrame:
-    """Two-dimensional kernel at every (sx, sy): each pixel's taps are joined with the source cells and summed."""
-    t = grid.select("col", "row", taps(kernel, F.col("sx"), 1.0, src_width).alias("tx"), taps(kernel, F.col("sy"), 1.0, src_height).alias("ty"))
-    t = t.select("col", "row", F.explode("tx").alias("x"), "ty").select("col", "row", "x", F.explode("ty").alias("y"))
-    t = t.select("col", "row", F.col("x.i").cast("long").alias("_c"), F.col("y.i").cast("long").alias("_r"), (F.col("x.w") * F.col("y.w")).alias("w"))
-    src = cells.select(F.col("col").alias("_c"), F.col("row").alias("_r"), value)
-    return t.join(src, ["_c", "_r"]).groupBy("col", "row").agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    """Two-dimensional kernel at every (sx, sy): the taps of each pixel are summed over the source cells there are.
+
+    The source is dealt in blocks of BLOCK cells a side, with a border as wide as the kernel to the right and below, each an
+    array of lines; a pixel joins the block of the first cell that its kernel may reach. So a pixel is shuffled once, not with each of its taps.
+    """
+    reach = math.ceil(2 * RADIUS[kernel] - 1e-7) - 1
+    side, c = BLOCK + reach, F.col
+    spots = lambda v: F.array_distinct(F.array(F.floor(c(v) / BLOCK), F.floor((c(v) - reach) / BLOCK)))
+    src = cells.select("col", "row", value).select("*", F.explode(spots("col")).alias("_bx")).select("*", F.explode(spots("row")).alias("_by"))
+    x = c("col") - c("_bx") * BLOCK
+    line = [f for k in range(side) for f in (F.sum(F.when(x == k, c(value))).alias(f"z{k}"), F.max(x == k).alias(f"t{k}"))]
+    lines = src.groupBy("_bx", "_by", "row").agg(*line)
+    held = F.struct((c("row") - c("_by") * BLOCK).alias("y"), F.array(*[f"z{k}" for k in range(side)]).alias("z"), F.array(*[f"t{k}" for k in range(side)]).alias("t"))
+    blocks = lines.select("_bx", "_by", held.alias("line")).groupBy("_bx", "_by").agg(F.collect_list("line").alias("lines"))
+    at = lambda y: F.get(F.filter("lines", lambda v: v["y"] == y), F.lit(0))
+    blocks = blocks.select("_bx", "_by", F.transform(F.sequence(F.lit(0), F.lit(side - 1)), at).alias("lines"))
+    inside = lambda v, n: F.filter(taps(kernel, c(v), 1.0, n), lambda t: t["i"] < n)
+    first = lambda v, n: F.least(F.greatest(F.ceil(c(v) - RADIUS[kernel] - 1e-7), F.lit(0)), F.lit(n - 1))
+    t = grid.select("col", "row", "sx", "sy", F.floor(first("sx", src_width) / BLOCK).alias("_bx"), F.floor(first("sy", src_height) / BLOCK).alias("_by"))
+    # taps are many times a pixel's own size, so they are taken once it has joined its block
+    joined = t.join(blocks, ["_bx", "_by"]).select("col", "row", "_bx", "_by", "lines", inside("sx", src_width).alias("tx"), inside("sy", src_height).alias("ty"))
+
+    # one plain term a tap: in nested lambdas the taps of the row would be taken again for each line
+    taken = [(F.get("tx", F.lit(b)), F.get("ty", F.lit(a))) for a in range(reach + 1) for b in range(reach + 1)]
+    cell = lambda tx, ty, v: F.get(F.get("lines", (ty["i"] - c("_by") * BLOCK).cast("int"))[v], (tx["i"] - c("_bx") * BLOCK).cast("int"))
+    values = joined.select("col", "row", *[(tx["w"] * ty["w"] * cell(tx, ty, "z")).alias(f"v{k}") for k, (tx, ty) in enumerate(taken)], F.coalesce(*[F.when(cell(tx, ty, "t"), True) for tx, ty in taken]).alias("there"))
+    of = [c(f"v{k}") for k in range(len(taken))]
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in of), F.lit(0.0))
+    return filtered_here(values, c("there")).select("col", "row", F.when(F.coalesce(*of).isNotNull(), total).alias(value))
