@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 def parse_kvp(text: Column) -> Column:
     """Entries (k, v) of a query string: keys in lower case, values decoded, control characters as _."""
     parts = F.filter(F.split(text, "&"), lambda x: F.instr(x, "=") > 1)
-    clean = lambda x: F.regexp_replace(F.url_decode(F.regexp_replace(x, r"\+", "%2B")), r"[\x00-\x1F\x7F]", "_")
+    decoded = lambda x: F.when(F.instr(x, "%") > 0, F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))).otherwise(x)
+    clean = lambda x: F.regexp_replace(decoded(x), r"[\x00-\x1F\x7F]", "_")
     return F.transform(parts, lambda x: F.struct(F.lower(F.substring_index(x, "=", 1)).alias("k"), clean(F.substr(x, F.instr(x, "=") + 1)).alias("v")))
 
 
 def param(entries: Column, key: str) -> Column:
     """The first value of a key; null if absent."""
-    return F.get(F.filter(entries, lambda e: e["k"] == key), F.lit(0))["v"]
+    return F.get(entries["v"], (F.array_position(entries["k"], key) - 1).cast("int"))
 
 
 def options(text: Column) -> Column:

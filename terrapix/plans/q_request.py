@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..operators import raster, requests
+from ..operators.shared import filtered_here, spread
 from ..sources import slabs
 from ..sources.tables import table, view
 from .registry import query
@@ -15,7 +16,7 @@ c = F.col
 
 def kvp(spark, d):
     """A request log: one query string an event."""
-    e = table(spark, d, "events").select("event_id", "user_id")
+    e = spread(table(spark, d, "events").select("event_id", "user_id"), "event_id")
     i, u = c("event_id"), c("user_id")
     text = F.concat(F.lit("SERVICE=WMS&Request=GetMap&LAYERS=lay%5F"), (u % 7).cast("string"), F.lit("&layers=other&STYLES=s"), (i % 4).cast("string"), F.lit("&WIDTH="), (i % 11 * 100).cast("string"), F.lit("&HEIGHT="), (u % 13 * 100).cast("string"), F.lit("&CRS=EPSG:"), F.when(i % 5 == 0, "9999").otherwise("3857"), F.lit("&BBOX="), (i % 90).cast("string"), F.lit(","), (u % 90).cast("string"), F.lit(","), (i * 7 % 120).cast("string"), F.lit(",200&FORMAT=image%2F"), F.when(i % 9 == 0, "gif").otherwise("png"), F.lit("&VERSION="), F.when(i % 17 == 0, "1.0.0").otherwise("1.3.0"), F.lit("&I="), (u % 120 * 10).cast("string"), F.lit("&J="), (i % 70 * 10).cast("string"), F.lit("&QUERY_LAYERS=lay_"), ((u + i % 2) % 7).cast("string"))
     return e.select("event_id", "user_id", text.alias("text"))
@@ -237,7 +238,7 @@ def sink_gfi(spark, d):
 
 @query("sink_exception", f"SELECT event_id, '<ServiceExceptionReport xmlns=\"http://www.opengis.net/ogc\"><ServiceException code=\"' || error || '\">event ' || event_id || '</ServiceException></ServiceExceptionReport>' AS body FROM (SELECT event_id, CASE {MAP_CASES} END AS error FROM ({KVP}) q) e WHERE error IS NOT NULL")
 def sink_exception(spark, d):
-    bad = req_validate_getmap(spark, d).filter("error IS NOT NULL")
+    bad = filtered_here(req_validate_getmap(spark, d), c("error").isNotNull())
     return bad.select("event_id", requests.service_exception(c("error"), F.concat(F.lit("event "), c("event_id").cast("string"))).alias("body"))
 
 
