@@ -167,7 +167,7 @@ SELECT channels, sum(y1 - y0) AS area, count(*) AS strips, min(x) AS xmin, min(y
 def set_union_geom(spark, d):
     """The union of footprints by number of channels, as strips one unit wide: in each, intervals that meet are one; told by area, strips and extent. Footprints that repeat are one, so no two intervals of a strip tie in order."""
     boxes = view(spark, d, "f_img").filter("xmax > xmin").select("channels", "xmin", "xmax", "ymin", "ymax").distinct()
-    strips = boxes.select("channels", F.explode(F.sequence(c("xmin").cast("long"), c("xmax").cast("long") - 1)).alias("x"), "ymin", "ymax")
+    strips = boxes.select("channels", F.explode(F.sequence(c("xmin").cast("long"), c("xmax").cast("long") - 1)).alias("x"), "ymin", "ymax").distinct()
     order = Window.partitionBy("channels", "x").orderBy("ymin", "ymax")
     before = F.max("ymax").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = strips.withColumn("new", F.when(c("ymin") <= before, 0).otherwise(1))
